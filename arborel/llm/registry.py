@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import jaccard, repeats
 
 QUERIES = {
+    "op3_repeated_passages": repeats.query,
     "op5_ngram_jaccard": jaccard.query,
 }
 ORACLE_SQL: dict[str, str] = {}
