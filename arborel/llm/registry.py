@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, repeats
+from . import jaccard, records, repeats
 
 QUERIES = {
+    "op1_token_records": records.query,
     "op3_repeated_passages": repeats.query,
     "op5_ngram_jaccard": jaccard.query,
 }
