@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, records, repeats
+from . import decontaminate, jaccard, records, repeats
 
 QUERIES = {
     "op1_token_records": records.query,
     "op3_repeated_passages": repeats.query,
     "op5_ngram_jaccard": jaccard.query,
+    "op6_decontamination": decontaminate.query,
 }
 ORACLE_SQL: dict[str, str] = {}
