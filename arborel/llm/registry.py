@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, records, repeats
+from . import decontaminate, jaccard, records, repeats, toxicity
 
 QUERIES = {
     "op1_token_records": records.query,
+    "op2_toxicity": toxicity.query,
     "op3_repeated_passages": repeats.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": decontaminate.query,
