@@ -6,10 +6,11 @@
    go to the inverted index (with their position), in buckets of bounded size.
 3. Index-level skipping: a list is sorted by set size and cut into blocks whose sizes can match; sizes and
    positions bound the overlap of a pair, which is skipped if the bound is too low.
-4. Answer-level skipping: in each block only the first set (the leader) meets all others. A set whose
-   similarity with the leader is verified shares the leader's group, so its pairs with the leader's other
-   partners need no work. Pairs that the first round leaves in different groups are all verified in the second
-   round; thus no link between groups is lost, and a group of copies costs work in proportion to its size.
+4. Answer-level skipping: in each block only one set (the leader, by one of a few fixed orders) meets all others.
+   A set whose similarity with the leader is verified shares the leader's group, so its pairs with the leader's other
+   partners need no work. Pairs that the first round leaves in different groups are all examined in the second
+   round (those whose bitmaps differ in too many bits are skipped, the rest verified); thus no link between groups is
+   lost, and a group of copies costs work in proportion to its size.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ BUCKET_ROWS = 600_000
 #: Members of a list or partners of a leader that are worked on together.
 BLOCK = 2048
 
+#: Orders by which lists choose leaders: about as many leaders serve a group of similar sets.
+ORDERS = 8
+#: Bits of the parity map of a set; two maps differ in no more bits than their sets in shingles.
+MAP_BITS = 1024
+
 _POSTING = [("name", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4")]
 
 
@@ -155,15 +161,20 @@ def _lists(percent: int):
         edge = segments(name)
         size = np.diff(edge)
         first, last = np.repeat(edge[:-1], size), np.repeat(edge[1:], size)
-        # Leaders: a list's first set; then, again and again, the first that is too large for the one before.
-        leader, at = first.copy(), np.arange(len(name))
-        while len(name) and (far := 100 * n[leader].astype(np.int64) < percent * n.astype(np.int64)).any():
-            places = np.where(far, at, len(name))
-            start = edge[:-1]
-            nearest = np.minimum.reduceat(places, start)
-            leader = np.where(far, np.repeat(nearest, size), leader)
-        pair = (leader != at) & _can_match(n[leader], pos[leader], n, pos, percent) if len(name) else np.zeros(0, bool)
-        a, b = _distinct_pairs(key[leader[pair]], key[pair])
+        # Blocks: from a list's first set on, or from the first that is too large for the block before.
+        start, at = first.copy(), np.arange(len(name))
+        while len(name) and (far := 100 * n[start].astype(np.int64) < percent * n.astype(np.int64)).any():
+            nearest = np.minimum.reduceat(np.where(far, at, len(name)), edge[:-1])
+            start = np.where(far, np.repeat(nearest, size), start)
+        block = segments(start)
+        rank = mix(key ^ (name % np.uint64(ORDERS)) * np.uint64(0x9E3779B97F4A7C15))
+        if len(name):
+            lowest = np.repeat(np.minimum.reduceat(rank, block[:-1]), np.diff(block))
+            leader = np.repeat(np.minimum.reduceat(np.where(rank == lowest, at, len(name)), block[:-1]), np.diff(block))
+            pair = (leader != at) & _can_match(n[leader], pos[leader], n, pos, percent)
+            a, b = _distinct_pairs(key[leader[pair]], key[pair])
+        else:
+            a = b = key
         more = last - first > 2
         lists = [x[more] for x in (name, key, n, pos)]
         empty = pa.nulls(len(a), pa.int64())
@@ -180,7 +191,7 @@ def _lists(percent: int):
 
 
 def _cross(percent: int):
-    """Of sorted rows (name, x, y, root, key, n, pos): the pairs of a list's blocks x and y in different groups that can match."""
+    """Of sorted rows: the pairs of a list's blocks x and y that are in different groups and can match."""
 
     def pairs(rows: list[dict[str, np.ndarray]]):
         c = {k: np.concatenate([r[k] for r in rows]) for k in rows[0]}
@@ -194,6 +205,10 @@ def _cross(percent: int):
                 j = np.arange(i + 1, end)
                 j = j[(own["root"][j] != own["root"][i]) & ((own["block"][j] != own["block"][i]) | (own["x"][i] == own["y"][i]))]
                 j = j[_can_match(own["n"][j], own["pos"][j], own["n"][i : i + 1], own["pos"][i : i + 1], percent)]
+                if len(j):
+                    total = own["n"][j].astype(np.int64) + int(own["n"][i])
+                    apart = np.bitwise_count(own["map"][j] ^ own["map"][i]).sum(axis=1, dtype=np.int64)
+                    j = j[apart <= total - 2 * -(-percent * total // (100 + percent))]
                 out_a.append(np.full(len(j), own["key"][i]))
                 out_b.append(own["key"][j])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -206,6 +221,7 @@ def _cross(percent: int):
             own = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("name", "x", "y", "root", "key", "n", "pos", "block")}
             if not batch.num_rows:
                 continue
+            own["map"] = np.frombuffer(b"".join(batch["map"].to_pylist()), "<u8").reshape(batch.num_rows, -1)
             cut = 0
             if n > 100_000:  # a list and pair of blocks is at most 2 * BLOCK rows, give or take
                 last = held[-1]
@@ -224,6 +240,20 @@ def _cross(percent: int):
     return run
 
 
+def _maps(k: int):
+    """Texts with the parity maps of their sets."""
+
+    def run(batches):
+        for rows, data, offsets in pieces(batches):
+            maps = []
+            for s in shingle_sets(Words(data, offsets), k):
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([rows["key"], rows["text"], pa.array(maps, pa.binary())], names=["key", "text", "map"])
+
+    return run
+
+
 def _verify(k: int, percent: int):
     """Of rows sorted by leader, its own row (b is null) first: the pairs that reach the similarity."""
 
@@ -249,8 +279,8 @@ def _verify(k: int, percent: int):
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """A leader's text meets its partners' one after another; partners are dealt out, so many partners are many tasks."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    member = pairs.join(parts, "a").join(texts, F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
-    lead = parts.join(texts, F.col("a") == F.col("key")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    member = pairs.join(parts, "a").join(texts.drop("map"), F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
+    lead = parts.join(texts.drop("map"), F.col("a") == F.col("key")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     rows = lead.unionByName(member).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return in_arrow(rows.select("a", "b", "text"), _verify(k, percent), "a long, b long")
 
@@ -280,7 +310,8 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> Data
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(lists.select("key")).distinct()
     first = members.groupBy("key").agg(F.min(F.struct("id", "th")).alias("f")).join(wanted, "key").select("key", "f.id", "f.th")
-    texts = saved(rows.join(first, ["id", "th"]).dropDuplicates(["id", "th", "key"]).select("key", "text"))
+    texts = rows.join(first, ["id", "th"]).dropDuplicates(["id", "th", "key"]).select("key", "text")
+    texts = saved(in_arrow(texts, _maps(k), "key long, text string, map binary"))
 
     links = saved(_verified(pairs, texts, k, percent))
     groups = saved(components(links))
@@ -289,11 +320,12 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> Data
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
         placed.join(open_lists.select("name", blocks.alias("blocks")), "name")
+        .join(texts.select("key", "map"), "key")
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("name", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "root", "key", "n", "pos", "block")
+        .select("name", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "root", "key", "n", "pos", "block", "map")
     )
-    sorted_lists = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "n", "key")
+    sorted_lists = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "n", "key")  # lists are of bounded blocks
     cross = in_arrow(sorted_lists, _cross(percent), "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(_verified(saved(cross.join(done, ["a", "b"], "left_anti")), texts, k, percent))
