@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, records, repeats, toxicity, urls
+from . import decontaminate, jaccard, mixing, records, repeats, toxicity, urls
 
 QUERIES = {
     "op1_token_records": records.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_repeated_passages": repeats.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": decontaminate.query,
+    "op7_source_mix": mixing.query,
     "op10_url_rules": urls.query,
 }
 ORACLE_SQL: dict[str, str] = {"op10_url_rules": urls.ORACLE}
