@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, records, repeats, toxicity, urls
+from . import decontaminate, jaccard, mixing, records, repeats, topk, toxicity, urls
 
 QUERIES = {
     "op1_token_records": records.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": decontaminate.query,
     "op7_source_mix": mixing.query,
+    "op8_exact_top_k": topk.query,
     "op10_url_rules": urls.query,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_rules": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_url_rules": urls.ORACLE}
