@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, records, repeats, topk, toxicity, urls
+from . import decontaminate, jaccard, mixing, pii, records, repeats, topk, toxicity, urls
 
 QUERIES = {
     "op1_token_records": records.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.query,
     "op7_source_mix": mixing.query,
     "op8_exact_top_k": topk.query,
+    "op9_personal_data": pii.query,
     "op10_url_rules": urls.query,
 }
 ORACLE_SQL: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_url_rules": urls.ORACLE}
