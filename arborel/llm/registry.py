@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, records, repeats, topk, toxicity, urls
+from . import decontaminate, jaccard, lines, mixing, pii, records, repeats, topk, toxicity, urls
 
 QUERIES = {
     "op1_token_records": records.query,
     "op2_toxicity": toxicity.query,
     "op3_repeated_passages": repeats.query,
+    "op4_fuzzy_lines": lines.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_decontamination": decontaminate.query,
     "op7_source_mix": mixing.query,
