@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import MAX_ID, id_text, in_arrow, prepare, saved, scratch, table, width
 from .crc32c import frames, unframe
 
-#: Distinct words whose ids a task remembers.
-KNOWN_WORDS = 400_000
+#: Distinct words whose ids a worker remembers, from one task to the next.
+KNOWN_WORDS = 1_000_000
 #: Bytes of text that are encoded and framed at once.
 CHUNK = 4 << 20
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
@@ -37,22 +39,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() < 1 << 16 else "I"
+        self.kind = f"<u{array(self.code).itemsize}"
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = array(self.code, e.ids).tobytes()
+
     def texts(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text, and end, as bytes of kind."""
         # Upper case is lost anyway; where a special token may stand, case matters.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
+        known = self.known
+        new = set().union(*words) - known.keys()
+        # A full stop or comma after a letter a-z is a token by itself.
+        marked = [w for w in new if w[-1:] in (b".", b",") and 97 <= (w[-2:-1] or b" ")[0] <= 122 and b"<|" not in w]
+        self._learn([*(({w[:-1] for w in marked} | {b".", b","}) - known.keys() - new), *new.difference(marked)])
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        get = known.__getitem__
         return [b"".join([*map(get, own), end]) for own in words]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker, which outlives a task."""
+    return Encoder(path)
+
+
 def _chunks(batches):
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -80,7 +97,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
         for ids, texts in _chunks(batches):
             if out is None:
                 files.create_dir(root, recursive=True)
-                encoder, out = Encoder(vocabulary), files.open_output_stream(own)
+                encoder, out = _encoder(vocabulary), files.open_output_stream(own)
                 end = np.array([end_id], encoder.kind).tobytes()
             payloads = encoder.texts(texts, end)
             records = frames(payloads)
