@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, Packer, Words, by_bucket, id_text, in_arrow, mix, pieces, prepare, runs, saved, segments, table, unpack
+from .common import _BLOCK, BLOCK_SCHEMA, MAX_ID, Packer, Words, by_bucket, id_text, in_arrow, mix, pieces, prepare, runs, saved, segments, table, unpack
 
 #: Entries in a bucket, about.
 BUCKET_ROWS = 700_000
@@ -31,6 +31,8 @@ BUCKET_ROWS = 700_000
 MARGIN, LONGEST = 3, 4
 _ANCHOR = [("name", "<u8"), ("key", "<u8")]
 _WINDOW = [("name", "<u8"), ("key", "<u8"), ("id", "<i8"), ("at", "<u4")]
+_BY_TEXT = [("key", "<u8"), ("name", "<u8")]
+_PLACE = [("key", "<u8"), ("at", "<u4")]
 
 
 def _pair_round(names, doc, start, level: int):
@@ -139,24 +141,43 @@ def _anchor_blocks(window: int, buckets: int):
     return run
 
 
-def _shared(blocks):
-    """For each text, the names of its anchors that another text has too."""
-    c = unpack(blocks, _ANCHOR)
-    order = np.argsort(c["name"], kind="stable")
-    name, key = c["name"][order], c["key"][order]
-    edge = segments(name)
-    size = np.diff(edge)
-    if len(name):
-        low, high = np.minimum.reduceat(key, edge[:-1]), np.maximum.reduceat(key, edge[:-1])
-        keep = np.repeat(low != high, size)
-        name, key = name[keep], key[keep]
-    order = np.lexsort((name, key))
-    name, key = name[order], key[order]
-    keep = segments(key, name)[:-1]
-    name, key = name[keep], key[keep]
-    edge = segments(key)
-    blobs = [name[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table({"key": pa.array(key[edge[:-1]].view(np.int64)), "names": pa.array(blobs, pa.binary())})
+def _shared(buckets: int):
+    """The anchors that more than one text has, as blocks by text."""
+
+    def work(blocks):
+        c = unpack(blocks, _ANCHOR)
+        order = np.argsort(c["name"], kind="stable")
+        name, key = c["name"][order], c["key"][order]
+        edge = segments(name)
+        if len(name):
+            low, high = np.minimum.reduceat(key, edge[:-1]), np.maximum.reduceat(key, edge[:-1])
+            keep = np.repeat(low != high, np.diff(edge))
+            name, key = name[keep], key[keep]
+        return _packed(_BY_TEXT, buckets, key=key, name=name)
+
+    return work
+
+
+def _packed(dtype, buckets: int, **columns) -> pa.Table:
+    packer = Packer(dtype, buckets)
+    made = [*packer.add(**columns), *packer.flush()]
+    return pa.Table.from_batches(made, schema=_BLOCK)
+
+
+def _by_text(dtype, value: str):
+    """Of blocks by text: a row for each text with all its values."""
+
+    def work(blocks):
+        c = unpack(blocks, dtype)
+        order = np.lexsort((c[value], c["key"]))
+        key, own = c["key"][order], c[value][order]
+        keep = segments(key, own)[:-1]
+        key, own = key[keep], own[keep]
+        edge = segments(key)
+        blobs = [own[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.table({"key": pa.array(key[edge[:-1]].view(np.int64)), "found": pa.array(blobs, pa.binary())})
+
+    return work
 
 
 def _window_blocks(window: int, buckets: int):
@@ -170,8 +191,8 @@ def _window_blocks(window: int, buckets: int):
             doc = words.doc()[at]
             edge = np.searchsorted(doc, np.arange(rows.num_rows + 1))
             keep = np.zeros(len(at), bool)
-            for i, lists in enumerate(rows["names"].to_pylist()):
-                shared = np.sort(np.frombuffer(b"".join(lists), "<u8"))
+            for i, found in enumerate(rows["found"].to_pylist()):
+                shared = np.frombuffer(found, "<u8")
                 own = anchor[edge[i] : edge[i + 1]]
                 keep[edge[i] : edge[i + 1]] = shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own
             key, ids = rows["key"].to_numpy().view(np.uint64), rows["id"].to_numpy()
@@ -182,28 +203,28 @@ def _window_blocks(window: int, buckets: int):
     return run
 
 
-def _repeated(blocks):
-    """For each text, the places of its windows that a smaller doc_id has too."""
-    c = unpack(blocks, _WINDOW)
-    order = np.argsort(c["name"], kind="stable")
-    edge = segments(c["name"][order])
-    ids = c["id"][order]
-    if len(order):
-        order = order[ids > np.repeat(np.minimum.reduceat(ids, edge[:-1]), np.diff(edge))]
-    order = order[np.argsort(c["key"][order], kind="stable")]
-    key, at = c["key"][order], c["at"][order]
-    edge = segments(key)
-    blobs = [at[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table({"key": pa.array(key[edge[:-1]].view(np.int64)), "places": pa.array(blobs, pa.binary())})
+def _repeated(buckets: int):
+    """The windows that a smaller doc_id has too, as blocks by text."""
+
+    def work(blocks):
+        c = unpack(blocks, _WINDOW)
+        order = np.argsort(c["name"], kind="stable")
+        edge = segments(c["name"][order])
+        ids = c["id"][order]
+        if len(order):
+            order = order[ids > np.repeat(np.minimum.reduceat(ids, edge[:-1]), np.diff(edge))]
+        return _packed(_PLACE, buckets, key=c["key"][order], at=c["at"][order])
+
+    return work
 
 
 def _cut(window: int):
     def run(batches):
         for rows, data, offsets in pieces(batches):
             raw, removed, kept = data.tobytes(), [], []
-            for a, b, lists in zip(offsets[:-1], offsets[1:], rows["places"].to_pylist(), strict=True):
+            for a, b, found in zip(offsets[:-1], offsets[1:], rows["found"].to_pylist(), strict=True):
                 words = raw[a:b].split()
-                at = np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
+                at = np.frombuffer(found, "<u4").astype(np.int64)
                 depth = np.zeros(len(words) + 1, np.int64)
                 np.add.at(depth, at, 1)
                 np.add.at(depth, at + window, -1)
@@ -234,15 +255,15 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     found = saved(in_arrow(rows, run, schema))
     words = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-words // (4 * BUCKET_ROWS)))
-    shared = by_bucket(in_arrow(rows.select("text"), _anchor_blocks(window, buckets), "bucket int, block binary"), _shared, "key long, names binary")
-    shared = shared.groupBy("key").agg(F.collect_list("names").alias("names"))
+    shared = by_bucket(in_arrow(rows.select("text"), _anchor_blocks(window, buckets), BLOCK_SCHEMA), _shared(buckets), BLOCK_SCHEMA)
+    shared = by_bucket(shared, _by_text(_BY_TEXT, "name"), "key long, found binary")
     first = found.where(F.col("n") >= window).groupBy("key").agg(F.min(F.struct("id", "th", "n")).alias("f"))
-    wanted = saved(shared.join(first, "key").select("key", "f.id", "f.th", "f.n", "names"))
-    texts = saved(rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th", "key"]).select("key", "id", "text", "names"))
+    wanted = saved(shared.join(first, "key").select("key", "f.id", "f.th", "f.n", "found"))
+    texts = saved(rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th", "key"]).select("key", "id", "text", "found"))
     open_words = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-open_words // BUCKET_ROWS))
-    repeated = by_bucket(in_arrow(texts, _window_blocks(window, buckets), "bucket int, block binary"), _repeated, "key long, places binary")
-    places = repeated.groupBy("key").agg(F.collect_list("places").alias("places"))
+    repeated = by_bucket(in_arrow(texts, _window_blocks(window, buckets), BLOCK_SCHEMA), _repeated(buckets), BLOCK_SCHEMA)
+    places = by_bucket(repeated, _by_text(_PLACE, "at"), "key long, found binary")
     cut = in_arrow(texts.select("key", "text").join(places, "key"), _cut(window), "key long, cut long, kept string, cut_sha string")
 
     least = found.groupBy("key").agg(F.min("id").alias("least"))
