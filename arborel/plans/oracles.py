@@ -187,3 +187,20 @@ select tile_x, tile_y, n_pred, n_true, round(abs(n_pred - n_true) * 100 / n_true
 select page_id, regexp_extract(path, '([^/]*)$', 1) as name, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') as stem,
   try_cast(nullif(regexp_extract(path, '(\d+)\D*$', 1), '') as bigint) as tile from p""",
 }
+
+_BY_TILE = f"""{TOPS}, seg as (
+  select *, cast(floor(xi / 2500) as bigint) + 100 * cast(floor(yi / 2500) as bigint) as tile, case when tree_id % 5 <> 0 then tree_id end as t from pts),
+truth as (
+  select *, cast(floor(gx / 2500) as bigint) + 100 * cast(floor(gy / 2500) as bigint) as tile from stems where gt_id % 10 < 5 or gt_id > 60)"""
+ORACLES |= {
+    "segmented_tile_metrics": f"""with {_BY_TILE}, tt as (select * from seg where t <> 0 qualify row_number() over (partition by tile, t order by zi desc, point_id) = 1),
+m as (select tt.tile, t, min((xi - gx) * (xi - gx) + (yi - gy) * (yi - gy)) <= 40000 as is_match from tt join truth on truth.tile = tt.tile group by 1, 2),
+p as (select tile, count(*) filter (where is_match) as true_positives, count(*) as n_pred from m group by tile), n as (select tile, count(*) as n_true from truth group by tile)
+select tile, true_positives, n_pred - true_positives as false_positives, n_true - true_positives as false_negatives, {SCORE} from p join n using (tile)""",
+    "skipped_tiles": f"""with {_BY_TILE}, p as (select tile, count(t) as trees from seg group by tile), n as (select distinct tile from truth)
+select coalesce(p.tile, n.tile) as tile, case when p.tile is null then 'no points' when trees = 0 then 'no trees' else 'no reference positions' end as reason
+from p full join n on p.tile = n.tile where p.tile is null or n.tile is null or trees = 0""",
+    "tree_colours": f"with {POINTS} select point_id, cast((dense_rank() over (order by tree_id) - 1) % 20 as integer) as colour from pts",
+    "numbered_trees": f"""with {POINTS} select xi / 100.0e0 as x, yi / 100.0e0 as y, zi / 100.0e0 as z, dense_rank() over (order by tree_id) as "treeID" from pts where zi > 100
+union all select xi / 100.0e0, yi / 100.0e0, zi / 100.0e0, 0 from pts where zi <= 100""",
+}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import cluster, evaluate, ground, preprocess, raster, segment, spatial, treetops
+from ..sources import segmented
 from ..sources.adapter import HALO, TILE, metres, points, stems
-from . import pipelines
+from . import evaluation, pipelines
 
 CELL = 50
 DENSITY = cluster.Density(100, 5)
@@ -304,3 +305,30 @@ NAMES = (
     "overall_metrics one_to_one_matches match_labels_union relative_count_error minmax_normalize renumber_trees palette_index file_name_parts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
+
+
+def _by_tile(s, d):
+    segmented = points(s, d).withColumn("tile", spatial.cell("xi", TILE) + 100 * spatial.cell("yi", TILE)).withColumn("treeID", F.when(F.col("tree_id") % 5 != 0, F.col("tree_id")))
+    truth = stems(points(s, d)).where("gt_id % 10 < 5 or gt_id > 60").withColumn("tile", spatial.cell("gx", TILE) + 100 * spatial.cell("gy", TILE))
+    return segmented, truth
+
+
+def segmented_tile_metrics(s, d):
+    return _rounded(evaluation.evaluate_tiles(*_by_tile(s, d), exclude_zero=True), 6, "precision", "recall", "f1_score")
+
+
+def skipped_tiles(s, d):
+    return evaluation.skipped_tiles(*_by_tile(s, d))
+
+
+def tree_colours(s, d):
+    return segmented.coloured(points(s, d).withColumn("treeID", F.col("tree_id"))).select("point_id", "colour")
+
+
+def numbered_trees(s, d):
+    m = metres(points(s, d))
+    split = m.withColumn("cluster_id", F.col("tree_id") * 3)
+    return segmented.number_trees(split.where("zi > 100"), m.where("zi <= 100"))
+
+
+QUERIES |= {f.__name__: f for f in (segmented_tile_metrics, skipped_tiles, tree_colours, numbered_trees)}

@@ -223,3 +223,44 @@ def test_arrivals_are_segmented(spark, tmp_path):
     query = segment_arrivals(spark, str(tmp_path / "drop"), str(tmp_path / "out"), str(tmp_path / "state"), treetops.local_maxima)
     query.awaitTermination(120)
     assert values(spark.read.parquet(str(tmp_path / "out")), "point_id") == [(0,), (2,)]
+
+
+def test_segmented_cloud_is_numbered_saved_and_evaluated(spark, tmp_path):
+    from arborel.plans import evaluation
+    from arborel.sources import segmented
+
+    trees = spark.createDataFrame([(0.0, 0.0, 9.0, 40), (0.1, 0.0, 8.0, 40), (5.0, 5.0, 7.0, 7)], "x double, y double, z double, cluster_id long")
+    ground_ = spark.createDataFrame([(1.0, 1.0, 0.0)], "x double, y double, z double")
+    whole = segmented.number_trees(trees, ground_)
+    assert values(whole, "z", "treeID") == [(0.0, 0), (7.0, 1), (8.0, 2), (9.0, 2)]
+    assert segmented.save_segmented(whole, str(tmp_path / "out")) == 2
+    assert values(segmented.coloured(whole), "treeID", "colour") == [(0, 0), (1, 1), (2, 2), (2, 2)]
+    with pytest.raises(ValueError):
+        segmented.coloured(ground_)
+    assert segmented.top_view(whole, 1.5).count() == 2 and segmented.top_view(whole).count() == 4
+    rows = [(1, 10, 0, 0, 900, 1), (1, 11, 10, 0, 800, 1), (1, 12, 900, 0, 700, 0), (2, 13, 0, 0, 500, None), (3, 14, 0, 0, 500, 5)]
+    cloud_ = spark.createDataFrame(rows, "tile int, point_id long, xi long, yi long, zi long, treeID long")
+    truth = spark.createDataFrame([(1, 1, 50, 0), (4, 1, 0, 0)], "tile int, gt_id long, gx long, gy long")
+    assert values(evaluation.evaluate_tiles(cloud_, truth), "tile", "true_positives", "false_positives", "false_negatives") == [(1, 1, 1, 0)]
+    assert values(evaluation.evaluate_tiles(cloud_, truth, exclude_zero=True), "tile", "true_positives", "false_positives") == [(1, 1, 0)]
+    assert values(evaluation.skipped_tiles(cloud_, truth), "tile", "reason") == [(2, "no trees"), (3, "no reference positions"), (4, "no points")]
+    with pytest.raises(ValueError):
+        evaluation.require_same_crs("EPSG:2193", "EPSG:32617")
+    assert evaluation.require_same_crs(None, "EPSG:2193", "EPSG:2193") == "EPSG:2193"
+
+
+def test_noise_and_withheld_points_fall_out(spark):
+    df = spark.createDataFrame([(1, 2, False), (2, 18, False), (3, 1, True), (4, None, None)], "point_id long, classification int, withheld boolean")
+    assert values(preprocess.drop_noise(df), "point_id") == [(1,), (3,)] and values(preprocess.drop_withheld(df), "point_id") == [(1,), (2,)]
+
+
+def test_run_log_is_appended(spark, tmp_path):
+    from arborel.plans import evaluation
+    from arborel.sources import features
+
+    points = spark.createDataFrame([(1, 0), (2, 5), (3, 5), (4, 6)], "point_id long, treeID long")
+    row = evaluation.timed("a.las", points, lambda p: p)
+    for _ in range(2):
+        features.append_log(row, str(tmp_path / "log"))
+    log = spark.read.option("header", True).csv(str(tmp_path / "log"))
+    assert log.columns == ["file", "time_seconds", "tree_count"] and values(log, "file", "tree_count") == [("a.las", "2")] * 2
