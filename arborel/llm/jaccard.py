@@ -355,3 +355,18 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.where(~wordless).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
     return kept.unionByName(docs.where(wordless))
+
+
+ORACLE = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from texts where len(w) > 0),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from starts),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as root from texts union select r.doc_id, l.b from reach r join both_ways l on l.a = r.root),
+groups as (select doc_id, min(root) as component_id from reach group by doc_id)
+select g.doc_id, coalesce(s.n, 0) as n_shingles, g.component_id from groups g left join sizes s on s.doc_id = g.doc_id
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_personal_data": pii.query,
     "op10_url_rules": urls.query,
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_url_rules": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_repeated_passages": repeats.ORACLE,
+    "op5_ngram_jaccard": jaccard.ORACLE,
+    "op8_exact_top_k": topk.ORACLE,
+    "op10_url_rules": urls.ORACLE,
+}

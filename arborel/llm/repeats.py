@@ -281,3 +281,16 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, w, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from texts),
+windows as (select doc_id, i, case when i + 12 <= len(w) then array_to_string(w[i:i + 12], ' ') end as passage, word from words),
+firsts as (select passage, min(doc_id) as first_id from windows where passage is not null group by passage),
+marked as (select v.doc_id, v.i, v.word, coalesce(v.doc_id > f.first_id, false) as again from windows v left join firsts f on f.passage = v.passage),
+judged as (select *, bool_or(again) over (partition by doc_id order by i rows between 12 preceding and current row) as gone from marked),
+kept as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as text from judged group by doc_id)
+select t.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from texts t left join kept k on k.doc_id = t.doc_id
+"""
