@@ -10,12 +10,15 @@ starts, which alone scores all texts.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, mix, pieces, prepare, table
+from .common import NOT_ALNUM, Words, mix, pieces, prepare, saved, table
 
 #: Labelled rows of each class that are learned from, at most; chosen by a hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -40,52 +43,71 @@ SEED_LISTS = {
 }
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's name and its starts' names, with the text and the kind (0: word, else the start's bytes)."""
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's name and its starts' names, and the text of each: 32-bit hashes, whose last two bits tell the kind (0: word, else a place in STARTS, from 1)."""
     doc, size = words.doc(), words.end - words.start
-    names, docs, kinds = [words.hashes(lower=True)], [doc], [np.zeros(len(doc), np.int8)]
+    names, docs = [words.hashes(lower=True)], [doc]
     for n in STARTS:
-        start = words.hashes(lower=True, ends=np.minimum(words.end, words.start + n))[size > n]
-        names.append(mix(start ^ np.uint64(n)))
+        names.append(words.hashes(lower=True, ends=np.minimum(words.end, words.start + n))[size > n])
         docs.append(doc[size > n])
-        kinds.append(np.full(len(start), n, np.int8))
-    return np.concatenate(names), np.concatenate(docs), np.concatenate(kinds)
+    tagged = [((mix(x ^ np.uint64(k)) >> np.uint64(32)) & np.uint64(0xFFFFFFFC)).astype(np.uint32) | np.uint32(k) for k, x in enumerate(names)]
+    return np.concatenate(tagged), np.concatenate(docs)
 
 
 def _word_names(words: str) -> np.ndarray:
     data = np.frombuffer(words.encode(), np.uint8)
-    return np.unique(Words(data, np.array([0, len(data)]), NOT_ALNUM).hashes(lower=True))
+    names, _ = features(Words(data, np.array([0, len(data)]), NOT_ALNUM))
+    return np.unique(names[names & 3 == 0])
 
 
 def _extract(batches):
-    """Distinct features of each text with their kinds, and whether it shouts."""
+    """Distinct features of each text, and whether it shouts."""
     for rows, data, offsets in pieces(batches):
         words = Words(data, offsets, NOT_ALNUM)
-        names, doc, kind = features(words)
+        names, doc = features(words)
         order = np.lexsort((names, doc))
-        names, doc, kind = names[order], doc[order], kind[order]
+        names, doc = names[order], doc[order]
         new = np.append(True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])) if len(names) else np.zeros(0, bool)
-        names, doc, kind = names[new], doc[new], kind[new]
+        names, doc = names[new], doc[new]
         edge = np.searchsorted(doc, np.arange(rows.num_rows + 1))
         upper = np.append(0, np.cumsum((data >= 65) & (data <= 90)))
         marks = np.append(0, np.cumsum(data == 33))
         size = np.maximum(np.diff(offsets), 1)
         shout = np.diff(upper[offsets]) / size > 0.3
         exclaim = np.diff(marks[offsets]) / size > 0.01
-        blobs = [names[a:b].tobytes() + kind[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([rows["toxic"], pa.array(blobs, pa.binary()), pa.array(shout), pa.array(exclaim)], names=["toxic", "features", "shout", "exclaim"])
+        blobs = [names[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([rows["doc_id"].cast(pa.string()), rows["toxic"], pa.array(blobs, pa.binary()), pa.array(shout), pa.array(exclaim)], names=["doc_id", "toxic", "features", "shout", "exclaim"])
 
 
 def _odds(names: np.ndarray, docs: np.ndarray, p: np.ndarray, smooth: float = 0.5):
-    """Of each distinct feature: the log odds of class 1, the signed root of their deviance, and in how much of class 1 it stands."""
-    known, inverse = np.unique(names, return_inverse=True)
-    yes = np.bincount(inverse, p[docs], len(known))
-    no = np.bincount(inverse, 1 - p[docs], len(known))
-    n1, n0 = p.sum() + 1, (1 - p).sum() + 1
-    log = np.log((yes + smooth) / (n1 - yes + smooth)) - np.log((no + smooth) / (n0 - no + smooth))
-    both, share = yes + no, n1 / (n1 + n0)
-    deviance = 2 * (yes * np.log(np.maximum(yes, 1e-9) / (both * share)) + no * np.log(np.maximum(no, 1e-9) / (both * (1 - share))))
-    return known, log, np.sign(log) * np.sqrt(np.maximum(deviance, 0)), yes
+    """Of the features that speak for class 1 (log odds over 1): name, log odds, the signed root of their deviance, and in how much of class 1 they stand;
+    and the number of all features. By slices of names, so that memory doesn't grow with their number."""
+    n1, n0, out, total = p.sum() + 1, (1 - p).sum() + 1, [], 0
+    share, slice_ = n1 / (n1 + n0), (names >> np.uint32(28)).astype(np.int8)
+    for s in range(16):
+        own = np.flatnonzero(slice_ == s)
+        known, inverse = np.unique(names[own], return_inverse=True)
+        yes = np.bincount(inverse, p[docs[own]], len(known))
+        no = np.bincount(inverse, 1 - p[docs[own]], len(known))
+        log = np.log((yes + smooth) / (n1 - yes + smooth)) - np.log((no + smooth) / (n0 - no + smooth))
+        both = yes + no
+        deviance = 2 * (yes * np.log(np.maximum(yes, 1e-9) / (both * share)) + no * np.log(np.maximum(no, 1e-9) / (both * (1 - share))))
+        keep = log > 1
+        out.append([x[keep] for x in (known, log, np.sqrt(np.maximum(deviance, 0)), yes)])
+        total += len(known)
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), total)
+
+
+def _hits(names: np.ndarray, docs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in terms) of each occurrence of one of the sorted terms."""
+    found, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(names) if len(terms) else 0, 1 << 20):
+        own = names[low : low + (1 << 20)]
+        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        same = terms[at] == own
+        found.append(docs[low : low + (1 << 20)][same].astype(np.int64))
+        place.append(at[same])
+    return np.concatenate(found), np.concatenate(place)
 
 
 class LabelModel:
@@ -131,11 +153,11 @@ class Classifier:
         order = np.argsort(names)
         self.names, self.weights, self.bias = names[order], weights[order], bias
         self.map = np.zeros(1 << _MAP_BITS, bool)
-        self.map[(names >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+        self.map[names >> np.uint32(32 - _MAP_BITS)] = True
 
     def scores(self, words: Words) -> np.ndarray:
-        names, doc, _ = features(words)
-        at = np.flatnonzero(self.map[(names >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])
+        names, doc = features(words)
+        at = np.flatnonzero(self.map[names >> np.uint32(32 - _MAP_BITS)])
         total = np.full(len(words.count), self.bias)
         if len(self.names) and len(at):
             found = np.minimum(np.searchsorted(self.names, names[at]), len(self.names) - 1)
@@ -172,41 +194,49 @@ def _calibrate(logit: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
-def learn(rows: list[tuple[int, bytes, bool, bool]]) -> tuple[Classifier, LabelModel | None]:
+def learn(rows: Iterable[tuple[int, bytes | bytearray, bool, bool]]) -> tuple[Classifier, LabelModel | None]:
     """A classifier from rows (label, features, shouts, exclaims), and the label model behind it."""
-    seen, y, found, kinds, flags = set(), [], [], [], []
+    data, metas = bytearray(), []
     for label, blob, shout, exclaim in rows:
-        n = len(blob) // 9
-        names, kind = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, np.int8, n, 8 * n)
-        few = tuple(np.partition(names, 1)[:2]) if n > 2 else (n and int(names[0]), label)
-        if (few, label) not in seen:  # of near copies, which share their smallest names, one
-            seen.add((few, label))
-            y.append(label)
-            found.append(names)
-            kinds.append(kind)
-            flags.append((shout, exclaim))
-    y = np.array(y, float)
+        few = tuple(np.partition(np.frombuffer(blob, "<u4"), 1)[:2].tolist()) if len(blob) > 8 else bytes(blob)
+        metas.append((label, len(data) // 4, len(blob) // 4, shout, exclaim, (few, label), hashlib.md5(blob).digest()))
+        data += blob
+    names, kept = np.frombuffer(data, "<u4"), {}
+    for m in sorted(metas, key=lambda m: m[6]):  # by a hash, so that the result doesn't depend on the rows' order
+        kept.setdefault(m[5], m)  # of near copies, which share their smallest names, one
+    metas = list(kept.values())
+    y = np.array([m[0] for m in metas], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.25
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share)))), None
-    docs = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    names, kinds, flags = np.concatenate(found), np.concatenate(kinds), np.array(flags)
+        return Classifier(np.zeros(0, np.uint32), np.zeros(0), float(np.log(share / (1 - share)))), None
+    names = np.concatenate([names[m[1] : m[1] + m[2]] for m in metas])
+    docs, flags = np.repeat(np.arange(len(y), dtype=np.int32), [m[2] for m in metas]), np.array([m[3:5] for m in metas])
+    del data
+    kinds = (names & 3).astype(np.int8)
 
     half = np.arange(len(y)) % 2 == 0
     voters: list[np.ndarray] = []  # votes of each voter
-    row_of = lambda terms: np.bincount(docs[np.isin(names, terms)], minlength=len(y))
+
+    def has(terms: np.ndarray) -> np.ndarray:
+        """How many of the terms each text has."""
+        return np.bincount(_hits(names, docs, terms)[0], minlength=len(y))
+
     for words in SEED_LISTS.values():
-        voters.append((row_of(_word_names(words)) > 0).astype(int))
+        voters.append((has(_word_names(words)) > 0).astype(int))
     everything = np.zeros(len(y))
-    for kind in (0, *STARTS):
-        own = half[docs] & (kinds == kind)
-        known, log, z, yes = _odds(names[own], docs[own], y)
-        best = np.argsort(-np.where((yes >= 2) & (log > 1), z, -np.inf), kind="stable")[:TERMS]
-        best = best[(yes[best] >= 2) & (log[best] > 1)]
+    for kind in range(len(STARTS) + 1):
+        own = np.flatnonzero(half[docs] & (kinds == kind))
+        known, _, z, yes, _ = _odds(names[own], docs[own], y)
+        z = np.where(yes >= 2, z, 0)
+        best = np.argsort(-z, kind="stable")[:TERMS]
+        best = best[z[best] > 0]
+        terms, rank = np.unique(known[best]), np.argsort(np.argsort(known[best]))
+        row, place = _hits(names, docs, terms)
+        part_of = np.empty(len(terms), int)
+        part_of[rank] = np.arange(len(terms)) % LISTS
         for part in range(LISTS):
-            if len(terms := known[best[part::LISTS]]):
-                voters.append((row_of(terms) > 0).astype(int))
-        hits = row_of(known[best])
+            voters.append((np.bincount(row[part_of[place] == part], minlength=len(y)) > 0).astype(int))
+        hits = np.bincount(row, minlength=len(y))
         everything += hits
         voters.append(np.where(hits == 0, -1, np.where(hits > 1, 1, 0)))
     voters += [flags[:, 0].astype(int), flags[:, 1].astype(int), np.where(everything == 0, -1, 0)]
@@ -214,19 +244,17 @@ def learn(rows: list[tuple[int, bytes, bool, bool]]) -> tuple[Classifier, LabelM
     model = LabelModel()
     p = model.fit(votes, y, ~half)
 
-    known, log, z, _ = _odds(names, docs, p)
     # Only what speaks for the class is kept: what speaks against it tells languages and topics apart, not tone.
-    keep = np.argsort(-np.where(log > LEAST_LOG_ODDS, z, -1), kind="stable")[:FEATURES]
-    keep = keep[(log[keep] > LEAST_LOG_ODDS) & (z[keep] >= np.sqrt(2 * np.log(len(known) + 1)))]  # beyond the highest that chance gives so many features
-    keep = np.sort(keep)
-    x = np.zeros((len(y), len(keep)), np.float32)
-    at = np.minimum(np.searchsorted(known[keep], names), len(keep) - 1)
-    hit = known[keep][at] == names if len(keep) else np.zeros(len(names), bool)
-    x[docs[hit], at[hit]] = 1
+    known, log, z, _, total = _odds(names, docs, p)
+    good = (log > LEAST_LOG_ODDS) & (z >= np.sqrt(2 * np.log(total + 1)))  # beyond the highest that chance gives so many features
+    known, z = known[good], z[good]
+    terms = np.sort(known[np.argsort(-z, kind="stable")[:FEATURES]])
+    x = np.zeros((len(y), len(terms)), np.float32)
+    x[_hits(names, docs, terms)] = 1
     w, b = _logistic(x, p)
     scale, shift = _calibrate(x @ w + b, p)
     w, b = w * scale, b * scale + shift
-    return Classifier(known[keep], w.astype(float), float(b)), model
+    return Classifier(terms, w.astype(float), float(b)), model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -243,9 +271,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     pick = lambda value, n: marked.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(n)
     sample = pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(_extract, "toxic int, features binary, shout boolean, exclaim boolean")
-    # doc_id may repeat: again at most so many rows
-    return learn([tuple(r) for r in found.orderBy(F.xxhash64("features"), "features").limit(TOXIC_ROWS + CLEAN_ROWS).collect()])[0]
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(_extract, "doc_id string, toxic int, features binary, shout boolean, exclaim boolean")
+    # doc_id may repeat: of each the first by hash. Partitions come to the driver one after another.
+    one = F.min(F.struct(F.xxhash64("features").alias("order"), "toxic", "features", "shout", "exclaim")).alias("r")
+    kept = saved(found.groupBy("doc_id").agg(one).select("r.*"))
+    return learn((r.toxic, r.features, r.shout, r.exclaim) for r in kept.select("toxic", "features", "shout", "exclaim").toLocalIterator())[0]
 
 
 def score(classifier: Classifier, spark, text: Column) -> Column:
