@@ -90,13 +90,14 @@ def _order(found: DataFrame) -> np.ndarray:
                 both = np.frombuffer(cells, "<u4").reshape(2, -1)
                 np.add.at(total.setdefault(r, np.zeros(size, np.uint64)), both[0].astype(np.int64), both[1].astype(np.uint64))
         for r, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["range", "cells"])
-
-    parts = in_arrow(found.where("range is not null").select("range", "cells").repartition(RANGES, "range"), add, "range int, cells binary")
-    total = np.zeros((RANGES, size), np.uint64)
-    for r, cells in parts.collect():  # one row for each range: 32 MB in all, whatever the input
-        total[r] += np.frombuffer(cells, np.uint64)
-    return np.round(4 * np.log2(1.0 + total.reshape(-1))).astype(np.uint8)
+            ranks = np.round(4 * np.log2(1.0 + t)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["range", "ranks"])
+
+    parts = in_arrow(found.where("range is not null").select("range", "cells").repartition(RANGES, "range"), add, "range int, ranks binary")
+    order = np.zeros((RANGES, size), np.uint8)
+    for r, ranks in parts.collect():  # one row for each range: 4 MB in all, whatever the input
+        order[r] = np.frombuffer(ranks, np.uint8)
+    return order.reshape(-1)
 
 
 def _postings(k: int, percent: int, order, buckets: int):
