@@ -165,13 +165,13 @@ def _counts(shared, docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
-    """docs (with a column text) and a new column leaks: the parts that align with an item of benchmark (item_id, text).
+def with_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, name: str = "leaks") -> DataFrame:
+    """docs (with a column text) and a new column of that name: the parts that align with an item of benchmark (item_id, text).
 
     An alignment counts if its score (matches less mismatches and gaps, in words) is least or more of the item's words.
     Words are runs of letters and digits, A-Z lower-cased. Each entry has item_id, start, end (words of the document) and score;
     no leak: an empty array. Null texts count as empty. Items of fewer than n words, or null, never match. Repeated
-    rows and items are judged each by itself. All columns of docs stay; one named leaks is replaced.
+    rows and items are judged each by itself. All columns of docs stay; one that has the new column's name is replaced.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -190,7 +190,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
         items.index()
         columns.append(_span_column(spark.sparkContext.broadcast(items), least, F.col("text")))
     found = F.concat(*columns) if columns else F.array().cast(_SPANS)
-    return docs.withColumn("leaks", found)
+    return docs.withColumn(name, found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -206,5 +206,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark text."""
-    return with_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    """The documents that hold no benchmark text, with their columns as they are."""
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), name="_leaks").where(F.size("_leaks") == 0).select(*docs.columns)

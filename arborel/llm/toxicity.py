@@ -308,5 +308,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def reject(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't predicted toxic."""
-    return with_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    """The documents that aren't predicted toxic, with their columns as they are."""
+    prepare(spark)
+    classifier = train(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("_toxicity", score(classifier, spark, F.col("text"))).where("_toxicity < 0.5").select(*docs.columns)
