@@ -159,7 +159,7 @@ def merge_clusters(current: list[np.ndarray], everything: list[np.ndarray], poin
 
 
 def layered_array(points: np.ndarray, layers: Layers = Layers()) -> np.ndarray:
-    """Tree numbers from 1 (0: none) of points in centimetres: density clusters in the top layer, then in each lower layer centroid clusters seeded with the
+    """Tree numbers from 1 (0: none) of points in centimetres: density clusters in the top layer (the highest that has any), then in each lower layer centroid clusters seeded with the
     layer above's own centroids and merged into the trees. Layers that are empty or smaller than `least` are skipped and leave the seeds unchanged; layers
     of fewer points than seeds are skipped too."""
     out = np.zeros(len(points), int)
