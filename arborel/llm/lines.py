@@ -1,10 +1,10 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines are normalised and named by a hash; equal ones are counted before anything else. A line's SimHash has the majority of its words'
-hash bits; the counts of bits are packed in fields of long integers, so that 8 sums do for 64 bits. Of max_distance + 2 blocks of the
-SimHash, two at least are equal in lines that differ in max_distance bits; each pair of blocks is a key. In each bucket of a key the
-smallest line (the leader) is compared with all others, by SimHash distance and then by edit distance; lines that are still in different
-groups after that are compared with each other. So a bucket of very many variants of one line costs work in proportion to
+hash bits; the counts of bits are packed in 16-bit fields of long integers, so that 16 sums do for 64 bits. Of max_distance + 2 blocks of
+the SimHash, two at least are equal in lines that differ in max_distance bits; each pair of blocks is a key. In each bucket of a key the
+smallest line (the leader) is compared with all others, by length and SimHash distance and then by edit distance; lines that are still in
+different groups after that are compared with each other. So a bucket of very many variants of one line costs work in proportion to
 its size, and no link between groups is lost. Of each connected group the first occurrence stays.
 """
 
@@ -20,23 +20,17 @@ from .components import components
 
 #: SimHash bits that may differ, and the least edit similarity: 1 - distance / longer length.
 MAX_DISTANCE, SIMILARITY = 3, 0.8
+#: Words of up to so many characters have no weight in a line with at least so many longer ones.
+SHORT, MANY = 3, 8
+#: Characters of a line whose words packed counters surely can take; longer lines are counted bit by bit.
+MOST_PACKED = 30_000
+#: ASCII characters but letters and digits.
+_MARKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 
 def normal(line: Column) -> Column:
-    """Lower case; letters and digits stay, all else is one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
-
-def _majority(width: int) -> str:
-    """SQL for the SimHash of the array hashes, with counters of that many bits (the highest must stay positive)."""
-    fields = 64 // width
-    ones = sum(1 << (width * i) for i in range(fields))
-    mask = f"cast({ones if ones < 1 << 63 else ones - (1 << 64)} as bigint)"
-    sums = [f"aggregate(hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & {mask}))" for k in range(width)]
-    full = (1 << width) - 1
-    bits = " | ".join(f"if(2 * (shiftrightunsigned(s.s{k}, {width * i}) & {full}L) > size(hashes), {_long(1 << (width * i + k))}, 0L)" for k in range(width) for i in range(fields))
-    named = ", ".join(f"'s{k}', {s}" for k, s in enumerate(sums))
-    return f"element_at(transform(array(named_struct({named})), s -> {bits}), 1)"
+    """Lower case; runs of ASCII characters other than letters and digits are one space."""
+    return F.trim(F.regexp_replace(F.lower(line), f"[{_MARKS}]+", " "))
 
 
 def _long(value: int) -> str:
@@ -44,20 +38,39 @@ def _long(value: int) -> str:
     return f"{value}L" if value > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def simhash(words: DataFrame) -> DataFrame:
-    """Column simhash from an array column hashes: bit i is set if it is in more than half of the hashes (none: 0)."""
-    return words.withColumn("simhash", F.expr(f"case when size(hashes) < 128 then {_majority(8)} when size(hashes) < 32768 then {_majority(16)} else {_majority(32)} end"))
+def simhashes(words: DataFrame, packed: bool = True) -> DataFrame:
+    """Of rows (seq, name, size, words), seq being a row's own number: name, size and simhash, whose bit i is set if it is in more than half of the words' hashes.
+
+    Words are counted as rows; their partial sums are one row for each line before anything is shuffled. packed: 16 sums of four counters each, for
+    at most MOST_PACKED words; else 64 sums.
+    """
+    each = words.select("seq", "name", "size", F.size("words").alias("n"), F.explode("words").alias("w")).withColumn("h", F.xxhash64("w"))
+    fields, mask = (16, "281479271743489L") if packed else (64, "1L")  # bits 0, 16, 32 and 48, or bit 0
+    sums = [F.sum(F.expr(f"shiftrightunsigned(h, {k}) & {mask}")).alias(f"s{k}") for k in range(fields)]
+    count = lambda k: f"shiftrightunsigned(s{k % 16}, {k // 16 * 16}) & 65535L" if packed else f"s{k}"
+    bits = " | ".join(f"if(2 * ({count(k)}) > n, {_long(1 << k)}, 0L)" for k in range(64))
+    return each.groupBy("seq", "name", "size", "n").agg(*sums).select("name", "size", F.expr(bits).alias("simhash"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The lines of docs (doc_id, text) with words: id, th, place, line, and of what is normal: name, simhash, size, normal."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), F.col("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.select("id", "th", "place", normal(F.col("line")).alias("normal")).where("normal <> ''")
-    # Short words have no weight, unless there are no others.
-    words = lines.withColumn("words", F.split("normal", " ")).withColumn("heavy", F.filter("words", lambda w: F.length(w) > 3))
-    hashes = words.withColumn("hashes", F.transform(F.when(F.size("heavy") > 0, F.col("heavy")).otherwise(F.col("words")), lambda w: F.xxhash64(w))).drop("words", "heavy")
-    return simhash(hashes).select("id", "th", "place", F.xxhash64("normal").alias("name"), "simhash", "normal")
+    """The lines of docs (doc_id, text) with letters or digits: row (a number for each row of docs), id, th, place, normal, and name, a hash of normal."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), F.col("text"))
+    rows = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
+    lines = rows.select("row", "id", "th", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.col("line").rlike(f"[^{_MARKS}]"))
+    return lines.select("row", "id", "th", "place", normal(F.col("line")).alias("normal")).withColumn("name", F.xxhash64("normal"))
+
+
+def distinct_lines(found: DataFrame) -> DataFrame:
+    """name, simhash and size (characters) of each distinct line that occurrences() found."""
+
+    def weighed(lines: DataFrame) -> DataFrame:
+        words = lines.select(F.monotonically_increasing_id().alias("seq"), "name", F.length("normal").alias("size"), F.split("normal", " ").alias("all"))
+        words = words.withColumn("heavy", F.filter("all", lambda w: F.length(w) > SHORT))
+        return words.select("seq", "name", "size", F.when(F.size("heavy") >= MANY, F.col("heavy")).otherwise(F.col("all")).alias("words"))
+
+    short = simhashes(weighed(found.where(F.length("normal") <= MOST_PACKED)))
+    long = simhashes(weighed(found.where(F.length("normal") > MOST_PACKED)), packed=False)
+    return short.unionByName(long).groupBy("name").agg(F.min("simhash").alias("simhash"), F.min("size").alias("size"))
 
 
 def keys(lines: DataFrame, max_distance: int) -> DataFrame:
@@ -70,39 +83,57 @@ def keys(lines: DataFrame, max_distance: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose texts are similar enough."""
+    """Of pairs (a, b) of different texts, those that are similar enough.
+
+    What both texts begin and end with alike doesn't change their edit distance, which is at most the length of the longer rest: only if that isn't
+    enough, the distance of the rests is computed. Rests are saved, as a filter on them would else compute them again and again.
+    """
     with_a = pairs.join(texts.select(F.col("name").alias("a"), F.col("normal").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("name").alias("b"), F.col("normal").alias("tb")), "b")
-    longer = F.greatest(F.length("ta"), F.length("tb"))
-    most = f"cast(floor((1 - {similarity}D) * greatest(length(ta), length(tb)) + 1e-9D) as int)"
-    near = both.where((F.least(F.length("ta"), F.length("tb")) >= similarity * longer - 1e-9) & (F.expr(f"levenshtein(ta, tb, {most})") >= 0))
-    return near.select("a", "b")
+    both = both.withColumn("most", F.expr(f"cast(floor((1 - {similarity}D) * greatest(length(ta), length(tb)) + 1e-9D) as int)"))
+    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
+    for _ in range(2):  # from the start, then from the end
+        alike = F.zip_with(F.split("ta", ""), F.split("tb", ""), lambda x, y: x.eqNullSafe(y))
+        found = both.withColumn("first", F.array_position(alike, False).cast("int"))
+        rest = lambda c: F.reverse(F.when(F.col("first") > 0, F.substring(c, F.col("first"), F.length(c))).otherwise("")).alias(c)
+        both = saved(found.select("a", "b", "most", rest("ta"), rest("tb")))
+    return both.where("greatest(length(ta), length(tb)) <= most or levenshtein(ta, tb, most) >= 0").select("a", "b")
 
 
 def line_groups(found: DataFrame, max_distance: int = MAX_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """Of a table that occurrences() made: (name, root) of each line that is linked with another."""
-    lines = saved(found.groupBy("name").agg(F.min("simhash").alias("simhash")))
+    lines = saved(distinct_lines(found))
     bucket = Window.partitionBy("key")
-    shared = saved(keys(lines, max_distance).withColumns({"leader": F.min(F.struct("name", "simhash")).over(bucket), "n": F.count("*").over(bucket)}).where("n > 1"))
+    whole = keys(lines, max_distance).withColumns({"leader": F.min(F.struct("name", "simhash")).over(bucket), "n": F.count("*").over(bucket)})
+    shared = saved(whole.where("n > 1"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
+    fits = lambda m, n: F.least(F.col(m), F.col(n)) >= similarity * F.greatest(F.col(m), F.col(n)) - 1e-9
+    sizes = lines.select("name", "size")
+
     stars = shared.where(F.col("leader.name") != F.col("name")).where(near("leader.simhash", "simhash")).select(F.col("leader.name").alias("a"), F.col("name").alias("b")).distinct()
-    stars = saved(stars)
+    stars = stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(fits("na", "nb"))
+    stars = saved(stars.select("a", "b"))
     many = shared.where("n > 2")
     wanted = many.select("name").unionByName(stars.select(F.col("a").alias("name"))).unionByName(stars.select(F.col("b").alias("name"))).distinct()
     texts = saved(found.select("name", "normal").join(wanted, "name").dropDuplicates(["name"]))
     links = saved(_verified(stars, texts, similarity))
-    roots = components(links, native=True).withColumnRenamed("node", "name")
+    roots = saved(components(links, native=True).withColumnRenamed("node", "name"))
 
     # Buckets that still hold several groups: their members outside the leader's group meet all the others.
-    placed = many.join(roots, "name", "left").select("key", "name", "simhash", "leader", F.coalesce("root", "name").alias("root"))
+    placed = many.join(sizes, "name").join(roots, "name", "left").select("key", "name", "simhash", "size", F.col("leader.name").alias("lead_name"), F.coalesce("root", "name").alias("root"))
     lead = roots.select(F.col("name").alias("lead_name"), F.col("root").alias("lead_root"))
-    placed = placed.withColumn("lead_name", F.col("leader.name")).join(lead, "lead_name", "left").withColumn("lead_root", F.coalesce("lead_root", "lead_name"))
-    outside = placed.where("root <> lead_root").select("key", F.col("name").alias("a"), F.col("simhash").alias("sa"), F.col("root").alias("ra"))
-    others = placed.where(F.col("name") != F.col("lead_name")).select("key", F.col("name").alias("b"), F.col("simhash").alias("sb"), F.col("root").alias("rb"))
-    cross = outside.join(others, "key").where("ra <> rb").where(near("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(saved(cross), texts, similarity)
-    edges = roots.select(F.col("name").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return components(edges, native=True).withColumnRenamed("node", "name")
+    placed = placed.join(lead, "lead_name", "left").withColumn("lead_root", F.coalesce("lead_root", "lead_name"))
+    outside = placed.where("root <> lead_root").select("key", F.col("name").alias("a"), F.col("simhash").alias("sa"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    others = placed.where(F.col("name") != F.col("lead_name")).select("key", F.col("name").alias("b"), F.col("simhash").alias("sb"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    cross = outside.join(others, "key").where("ra <> rb").where(near("sa", "sb") & fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = saved(_verified(saved(cross), texts, similarity))
+    # Groups that these links connect become one; only their roots take part.
+    root_of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(ends, native=True).toDF("old", "new")
+    merged = roots.join(joined, F.col("root") == F.col("old"), "left").select("name", F.coalesce("new", "root").alias("root"))
+    single = joined.join(roots.select(F.col("root").alias("old")).distinct(), "old", "left_anti").select(F.col("old").alias("name"), F.col("new").alias("root"))
+    return merged.unionByName(single)
 
 
 def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,9 +149,11 @@ def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, similarity: f
     found = saved(occurrences(docs))
     roots = line_groups(found, max_distance, similarity)
     slim = found.select("id", "th", "place", "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    first = slim.groupBy("root").agg(F.min(F.struct("id", "th", "place")).alias("first"))
-    judged = slim.join(first, "root").withColumn("goes", F.struct("id", "th", "place") != F.col("first"))
-    return judged.groupBy("id", "th").agg(F.countDistinct("place").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("place")))).alias("removed"))
+    first = slim.groupBy("root").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = slim.join(first, "root").where(F.struct("id", "th", "place") != F.col("first"))
+    removed = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("removed"))
+    counts = found.groupBy("row", "id", "th").agg(F.count("*").alias("n_lines")).groupBy("id", "th").agg(F.max("n_lines").alias("n_lines"))
+    return counts.join(removed, ["id", "th"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def with_lines_removed(docs: DataFrame, **options) -> DataFrame:
