@@ -235,7 +235,7 @@ _BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 class Packer:
     """Gathers rows of numpy columns and gives them out as one block for each bucket of the key column."""
 
-    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 24 << 20, combine: Callable | None = None):
+    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 12 << 20, combine: Callable | None = None):
         self.dtype, self.buckets, self.limit, self.combine = np.dtype(dtype), buckets, limit, combine
         self.parts: list[np.ndarray] = []
         self.size = 0

@@ -30,7 +30,7 @@ RANGES = 16
 #: A task's cells with fewer hits are left out of the order's counts (as in lossy counting).
 LEAST_HITS = 3
 #: Postings in a bucket of the index, about.
-BUCKET_ROWS = 600_000
+BUCKET_ROWS = 300_000
 #: Members of a list or partners of a leader that are worked on together.
 BLOCK = 2048
 
