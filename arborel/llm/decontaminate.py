@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-One pass over all documents counts every n-gram of the test items. Each item keeps the rarer half of its n-grams (by
-these counts, so an item that leaked very often still has seeds). A second pass finds seeds in the documents; around
-each, the document's words are aligned with the item's, which bears substitutions, insertions and deletions. Texts
-aren't moved: both passes are scans, and the items are broadcast in blocks of bounded size.
+Every n-gram of an item is a seed, so an edited copy is found as long as one is left. Around seeds, the document's words are aligned
+with the item's, which bears substitutions, insertions and deletions. Before that, windows are dropped that can't reach the limit: an
+alignment of score s has m matches and fewer than m - s + 1 breaks between them, so s - 1 of the item's word pairs at least stand in the
+window. Texts aren't moved: one scan finds all, and the items are broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, pieces, prepare, runs, table, text_buffers
+from .common import NOT_ALNUM, Words, mix, pieces, prepare, runs, table, text_buffers
 
 #: Bytes of item texts in a block, which is what is broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -21,6 +21,11 @@ _MAP_BITS = 22
 _CELLS = 1 << 20
 
 
+def _of_item(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Names of word pairs as an item's own."""
+    return mix(pairs + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Items:
     """A block of items: their words' names and n-grams."""
 
@@ -38,23 +43,10 @@ class Items:
         self.item, self.place = item[order], (at - words.bound[item])[order]
         self.edge = np.searchsorted(inverse[order], np.arange(len(self.grams) + 1))
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Leaves each item the rarer half of its n-grams."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.edge))
-        order = np.lexsort((self.place, counts[gram], self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        size = np.searchsorted(item, item, "right") - first
-        keep = np.zeros(len(order), bool)
-        keep[order] = np.arange(len(order)) - first < (size + 1) // 2
-        gram, self.item, self.place = gram[keep], self.item[keep], self.place[keep]
-        left, gram = np.unique(gram, return_inverse=True)
-        self.grams = self.grams[left]
-        self.edge = np.searchsorted(gram, np.arange(len(left) + 1))
-
-    def index(self) -> None:
         self.map = np.zeros(1 << _MAP_BITS, bool)
         self.map[(self.grams >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+        pairs, at = runs(names, words.bound, 2)
+        self.pairs = np.unique(_of_item(pairs, np.searchsorted(words.bound, at, "right") - 1))
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the grams are known, and as which."""
@@ -64,6 +56,23 @@ class Items:
         return at[same], found[same]
 
 
+def _likely(items: Items, names: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """Which windows of the words hold as many of their item's word pairs as an alignment that counts."""
+    pairs, _ = runs(names, np.array([0, len(names)]), 2)
+    length = np.array([len(w) for w in items.words])[item]
+    count, size = np.zeros(len(item), np.int64), np.maximum(high - low - 1, 0)
+    total, a = np.cumsum(size), 0
+    while a < len(item):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + _CELLS, "right")))
+        start = np.append(0, np.cumsum(size[a:b]))
+        at = np.repeat(low[a:b] - start[:-1], size[a:b]) + np.arange(start[-1])
+        own = _of_item(pairs[at], np.repeat(item[a:b], size[a:b]))
+        known = items.pairs[np.minimum(np.searchsorted(items.pairs, own), len(items.pairs) - 1)] == own if len(items.pairs) else np.zeros(len(own), bool)
+        count[a:b] = np.diff(np.append(0, np.cumsum(known))[start])
+        a = b
+    return count >= least * length - 1
+
+
 def align(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The best local alignment of the item with each text (match 1, mismatch -1, gap -1): its score, and the end of its part of the text."""
     best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -107,18 +116,17 @@ def spans(items: Items, data: np.ndarray, offsets: np.ndarray, least: float) ->
     at = np.repeat(at[hit], times)
     doc = np.searchsorted(words.bound, at, "right") - 1
     length = np.array([len(w) for w in items.words])[item]
-    slack = length // 3 + 3
+    slack = np.maximum(length // 3 + 3, ((1 - least) * length).astype(np.int64) + 1)  # no alignment that counts has more gaps
     low = np.maximum(words.bound[doc], at - place - slack)
     high = np.minimum(words.bound[doc + 1], at - place + length + slack)
-    order = np.lexsort((low, doc, item))
+    order = np.lexsort((high, low, doc, item))
     item, doc, low, high = item[order], doc[order], low[order], high[order]
-    windows: dict[int, list[list[int]]] = {}
-    last = None
-    for i, d, a, b in zip(item.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
-        if last and [i, d] == last[:2] and a <= last[3]:
-            last[3] = max(last[3], b)
-        else:
-            windows.setdefault(i, []).append(last := [i, d, a, b])
+    first = np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1]))
+    item, doc, low, high = item[first], doc[first], low[first], high[np.append(first[1:], True)]
+    good = _likely(items, names, item, low, high, least)
+    windows: dict[int, list[tuple[int, int, int, int]]] = {}
+    for w in zip(item[good].tolist(), doc[good].tolist(), low[good].tolist(), high[good].tolist(), strict=True):
+        windows.setdefault(w[0], []).append(w)
     for i, own in windows.items():
         word = items.words[i]
         score, end = align(word, [names[a:b] for _, _, a, b in own])
@@ -146,29 +154,11 @@ def _span_column(shared, least: float, text: Column) -> Column:
     return F.arrow_udf(run, _SPANS).asNondeterministic()(text)  # else a later filter computes it again
 
 
-def _counts(shared, docs: DataFrame, size: int) -> np.ndarray:
-    """How often each gram stands in all documents."""
-
-    def run(batches):
-        items, total = shared.value, np.zeros(size, np.int64)
-        for _, data, offsets in pieces(batches):
-            words = Words(data, offsets, NOT_ALNUM)
-            grams, _ = runs(words.hashes(lower=True), words.bound, items.n)
-            total += np.bincount(items.hits(grams)[1], minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "times"])
-
-    found = docs.select("text").mapInArrow(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-    out = np.zeros(size, np.int64)
-    for gram, times in found.collect():  # at most one row for each n-gram of a block of items
-        out[gram] = times
-    return out
-
-
 def with_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, name: str = "leaks") -> DataFrame:
     """docs (with a column text) and a new column of that name: the parts that align with an item of benchmark (item_id, text).
 
     An alignment counts if its score (matches less mismatches and gaps, in words) is least or more of the item's words.
+    It is looked for where n words in a row are the item's, so a copy without any such run isn't found.
     Words are runs of letters and digits, A-Z lower-cased. Each entry has item_id, start, end (words of the document) and score;
     no leak: an empty array. Null texts count as empty. Items of fewer than n words, or null, never match. Repeated
     rows and items are judged each by itself. All columns of docs stay; one that has the new column's name is replaced.
@@ -184,10 +174,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
         items = Items([tuple(r) for r in own], n)
         if not len(items.grams):
             continue
-        items.index()
-        shared = spark.sparkContext.broadcast(items)
-        items.keep_rare(_counts(shared, docs, len(items.grams)))
-        items.index()
         columns.append(_span_column(spark.sparkContext.broadcast(items), least, F.col("text")))
     found = F.concat(*columns) if columns else F.array().cast(_SPANS)
     return docs.withColumn(name, found)
