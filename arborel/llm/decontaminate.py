@@ -129,13 +129,20 @@ def spans(items: Items, data: np.ndarray, offsets: np.ndarray, least: float) ->
         windows.setdefault(w[0], []).append(w)
     for i, own in windows.items():
         word = items.words[i]
-        score, end = align(word, [names[a:b] for _, _, a, b in own])
-        good = [(w, int(s), int(e)) for w, s, e in zip(own, score, end, strict=True) if s >= least * len(word)]
-        if good:
+        while own:  # what is left and right of a found part may hold more copies
+            score, end = align(word, [names[a:b] for _, _, a, b in own])
+            good = [(w, int(s), int(e)) for w, s, e in zip(own, score, end, strict=True) if s >= max(1, least * len(word))]
             _, back = align(word[::-1], [names[a : a + e][::-1] for (_, _, a, _), _, e in good])
-            for ((_, d, a, _), s, e), n in zip(good, back, strict=True):
+            own = []
+            for ((_, d, a, b), s, e), n in zip(good, back.tolist(), strict=True):
                 stop = a + e - int(words.bound[d])
-                out[d].append({"item_id": items.ids[i], "start": stop - int(n), "end": stop, "score": round(s / len(word), 4)})
+                out[d].append({"item_id": items.ids[i], "start": stop - n, "end": stop, "score": round(s / len(word), 4)})
+                own += [(i, d, x, y) for x, y in ((a, a + e - n), (a + e, b)) if y - x >= least * len(word)]
+            if own:
+                likely = _likely(items, names, *np.array(own)[:, [0, 2, 3]].T, least)
+                own = [w for w, good in zip(own, likely.tolist(), strict=True) if good]
+    for found in out:
+        found.sort(key=lambda k: k["start"])
     return out
 
 
