@@ -51,7 +51,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_STRIKING = re.compile(r"[0-9@]")
+#: What makes a text worth a look and a word striking: a digit, an at sign, the word at or dot, or either in brackets, also inside a word.
+_STRIKING = re.compile(r"[0-9@]|(?<![^\x20\x09-\x0D])(?:at|dot)(?![^\x20\x09-\x0D])|[(\[](?:at|dot)[)\]]")
 
 
 def luhn(digits: str) -> bool:
@@ -243,8 +244,7 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
     words = [m.span() for m in _WORD.finditer(text)]
     near = np.zeros(len(words) + 1, int)
     for i, (a, b) in enumerate(words):
-        own = text[a:b]
-        if _STRIKING.search(own) or own in ("at", "dot", "(at)", "[at]"):
+        if _STRIKING.search(text[a:b]):
             near[max(0, i - NEAR)] += 1
             near[min(len(words), i + NEAR + 1)] -= 1
     inside = np.cumsum(near[:-1]) > 0
@@ -273,7 +273,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]]) -> lis
     """The field's spans of each text that are well formed and apart from the base spans."""
     chains, owner = [], []
     for i, text in enumerate(texts):
-        for island in islands(text) if _STRIKING.search(text) or " dot " in text else []:
+        for island in islands(text):
             chains.append(island)
             owner.append(i)
     labels = field().viterbi([[texts[o][a:b] for a, b in c] for c, o in zip(chains, owner, strict=True)])
@@ -306,14 +306,9 @@ _OUT = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base: str
 
 
 def _find(column: pa.Array) -> pa.Array:
-    striking = np.zeros(256, bool)
-    striking[[*range(48, 58), 64]] = True
     out = []
-    for rows, data, offsets in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
-        hits = np.append(0, np.cumsum(striking[data]))
-        some = np.flatnonzero(np.diff(hits[offsets]) > 0).tolist()
-        dotted = [i for i, t in enumerate(rows["text"].to_pylist()) if t and " dot " in t]
-        some = sorted({*some, *dotted})
+    for rows, _, _ in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
+        some = [i for i, t in enumerate(rows["text"].to_pylist()) if t and _STRIKING.search(t)]
         texts = [rows["text"][i].as_py() for i in some]
         base = [base_spans(t) for t in texts]
         both = dict(zip(some, zip(base, added_spans(texts, base), strict=True), strict=True))
