@@ -286,6 +286,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return in_arrow(rows.select("a", "b", "text"), _verify(k, percent), "a long, b long")
 
 
+_real = lambda c: F.when(F.col(c) != MAX_ID, F.col(c))
+
+
 def ngram_jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Links texts whose k-word shingle sets (A-Z lower-cased) have a Jaccard similarity of percent / 100 or more.
 
@@ -295,6 +298,11 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> Data
     a doc_id but not a text count as different texts. Shingles and sets are compared by 64-bit hashes. Other columns
     of docs are ignored. No rows give no rows.
     """
+    return _groups(docs, k, percent).select(_real("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), _real("top").alias("component_id"))
+
+
+def _groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """What ngram_jaccard_groups() returns, as id, th, n and top (MAX_ID for null), and root, which tells groups apart also where their ids don't; null if n is 0."""
     spark = docs.sparkSession
     prepare(spark)
     rows = id_text(docs).withColumn("th", F.xxhash64("text"))
@@ -335,12 +343,10 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> Data
     least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     placed = least.join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     tops = placed.groupBy("root").agg(F.min("least").alias("top"))
-    named = placed.join(tops, "root").select("key", "top")
+    named = placed.join(tops, "root").select("key", "top", "root")
     linked = members.where("n > 0").join(named, "key")
-    alone = members.where("n = 0").withColumn("top", F.col("id"))
-    out = linked.select("id", "th", "n", "top").unionByName(alone.select("id", "th", "n", "top"))
-    real = lambda c: F.when(F.col(c) != MAX_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), real("top").alias("component_id"))
+    alone = members.where("n = 0").withColumns({"top": F.col("id"), "root": F.lit(None).cast("long")})
+    return linked.select("id", "th", "n", "top", "root").unionByName(alone.select("id", "th", "n", "top", "root"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -349,9 +355,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked documents, those with the smallest doc_id (of repeated rows one); texts without words all stay."""
-    groups = ngram_jaccard_groups(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("_id"), F.col("th").alias("_th"), "component_id")
-    keep = keep.groupBy("component_id").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._id", "k._th")
+    keep = _groups(docs).where("n > 0").groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     rows = docs.where(~wordless).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
