@@ -58,6 +58,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one that spark.checkpoint.dir names; a local one only if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark.sparkContext, "_arborel_scratch", None)
         if not base:
             base = spark.sparkContext._arborel_scratch = "file://" + tempfile.mkdtemp(prefix="arborel-")
@@ -85,6 +87,17 @@ def id_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def absent(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of docs has, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,30 +115,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    at = np.arange(256, dtype=np.uint64)
-    if lower:
-        at[65:91] += 32
-    return mix(at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1234567))
-
-
-_BASE = 0x5851F42D4C957F2D
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    size = max(PIECE, 1 << int(n).bit_length())
-    if size not in _POWERS:
-        with np.errstate(over="ignore"):
-            _POWERS[size] = tuple(
-                np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]))
-                for b in (_BASE, pow(_BASE, -1, 1 << 64))
-            )
-        for other in [k for k in _POWERS if k not in (PIECE, size)]:
-            del _POWERS[other]
-    return _POWERS[size]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: By how many bytes of the last eight belong to a word.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: every eight bytes are mixed, then mixed again with their place, and summed. Other seeds give independent hashes."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # those that begin at each byte
+    size = end - start
+    key = mix(np.array([seed + 1], np.uint64) * _STEP)[0]
+    out = mix(mix((eights[start] & _MASK[np.minimum(size, 8)]) ^ key) + _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        times = (size[long] - 1) // 8
+        first = np.cumsum(times) - times
+        place = np.arange(int(times.sum())) - np.repeat(first, times) + 1
+        at = np.repeat(start[long], times) + 8 * place
+        left = np.minimum(np.repeat(end[long], times) - at, 8)
+        part = mix(mix((eights[at] & _MASK[left]) ^ key) + (place + 1).astype(np.uint64) * _STEP)
+        out[long] += np.add.reduceat(part, first)
+    return mix(out + size.astype(np.uint64) * key)
 
 
 class Words:
@@ -147,7 +160,7 @@ class Words:
         self.bound = np.searchsorted(self.start, offsets)  # words of text i: bound[i] to bound[i + 1]
         self.count = np.diff(self.bound)
 
-    def hashes(self, lower: bool = False, ends: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, lower: bool = False, ends: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """A 64-bit name of each word, or of its bytes up to ends; lower: A-Z count as a-z."""
         ends = self.end if ends is None else ends
         out, i = np.empty(len(self.start), np.uint64), 0
@@ -155,11 +168,7 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE, "right")))
             low = self.start[i]
             data = self.data[low : self.end[j - 1]]
-            power, inverse = _powers(len(data) + 1)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_VALUES[lower][data] * power[: len(data)], out=total[1:])
-            first, last = self.start[i:j] - low, ends[i:j] - low
-            out[i:j] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+            out[i:j] = hash_spans(_LOWER[data] if lower else data, self.start[i:j] - low, ends[i:j] - low, seed)
             i = j
         return out
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, mix, pieces, prepare, runs, table, text_buffers
+from .common import NOT_ALNUM, Words, absent, mix, pieces, prepare, runs, table, text_buffers
 
 #: Bytes of item texts in a block, which is what is broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -200,4 +200,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark text, with their columns as they are."""
-    return with_leaks(docs, table(spark, sf_dir, "benchmark"), name="_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+    (name,) = absent(docs, "_leaks")
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), name=name).where(F.size(name) == 0).select(*docs.columns)

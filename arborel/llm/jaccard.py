@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, Packer, Words, by_bucket, id_text, in_arrow, mix, pieces, prepare, saved, segments, shingle_sets, table, unpack
+from .common import MAX_ID, Packer, Words, absent, by_bucket, id_text, in_arrow, mix, pieces, prepare, saved, segments, shingle_sets, table, unpack
 from .components import components
 
 #: Cells of the table of counts; its size (4 MB of bytes to broadcast) doesn't grow with the input.
@@ -355,10 +355,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked documents, those with the smallest doc_id (of repeated rows one); texts without words all stay."""
-    keep = _groups(docs).where("n > 0").groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th"))
+    id_, th = absent(docs, "_id", "_th")
+    keep = _groups(docs).where("n > 0").groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select(F.col("k.id").alias(id_), F.col("k.th").alias(th))
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    rows = docs.where(~wordless).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = rows.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    rows = docs.where(~wordless).withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = rows.join(keep, [id_, th], "left_semi").dropDuplicates([id_, th]).select(*docs.columns)
     return kept.unionByName(docs.where(wordless))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, MAX_ID, Words, pieces, prepare, saved, table, text_buffers
+from .common import ASCII_SPACE, MAX_ID, Words, absent, pieces, prepare, saved, table, text_buffers
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -139,7 +139,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _cut(columns: list[str], schema: pa.Schema):
+def _cut(columns: list[str], parts_name: str, schema: pa.Schema):
     """The taken words of each text, once or twice: the whole text if all are taken."""
 
     def run(batches):
@@ -147,7 +147,7 @@ def _cut(columns: list[str], schema: pa.Schema):
             data, offsets = text_buffers(batch["text"])
             words, raw = Words(data, offsets, ASCII_SPACE), data.tobytes()
             index, texts = [], []
-            for i, parts in enumerate(batch["_parts"].to_pylist()):
+            for i, parts in enumerate(batch[parts_name].to_pylist()):
                 low, high = words.bound[i], words.bound[i + 1]
                 for copy in range(1, REPEATS + 1):
                     own: list[list[int]] = []
@@ -177,10 +177,11 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = docs.columns
-    key = Window.partitionBy("_id", "_th").orderBy("_id")
-    plan = mix_plan(docs).select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("_id"), F.col("th").alias("_th"), F.col("parts").alias("_parts"))
-    plan = plan.withColumn("_n", F.row_number().over(key)).where(F.size("_parts") > 0)
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = rows.withColumn("_n", F.row_number().over(key)).join(plan, ["_id", "_th", "_n"])
+    id_, th, n, parts = absent(docs, "_id", "_th", "_n", "_parts")
+    key = Window.partitionBy(id_, th).orderBy(id_)
+    plan = mix_plan(docs).select(F.coalesce("doc_id", F.lit(MAX_ID)).alias(id_), F.col("th").alias(th), F.col("parts").alias(parts))
+    plan = plan.withColumn(n, F.row_number().over(key)).where(F.size(parts) > 0)
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = rows.withColumn(n, F.row_number().over(key)).join(plan, [id_, th, n])
     schema = docs.select(*columns).schema
-    return rows.select(*columns, "_parts").mapInArrow(_cut(columns, to_arrow_schema(schema)), schema)
+    return rows.select(*columns, parts).mapInArrow(_cut(columns, parts, to_arrow_schema(schema)), schema)

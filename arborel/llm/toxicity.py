@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, mix, pieces, prepare, saved, table
+from .common import NOT_ALNUM, Words, absent, mix, pieces, prepare, saved, table
 
 #: Labelled rows of each class that are learned from, at most; chosen by a hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -311,4 +311,5 @@ def reject(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns as they are."""
     prepare(spark)
     classifier = train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_toxicity", score(classifier, spark, F.col("text"))).where("_toxicity < 0.5").select(*docs.columns)
+    (name,) = absent(docs, "_toxicity")
+    return docs.withColumn(name, score(classifier, spark, F.col("text"))).where(F.col(name) < 0.5).select(*docs.columns)
