@@ -242,10 +242,14 @@ _BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
 
 class Packer:
-    """Gathers rows of numpy columns and gives them out as one block for each bucket of the key column."""
+    """Gathers rows of numpy columns and gives them out as one block for each bucket of the key column.
 
-    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 12 << 20, combine: Callable | None = None):
-        self.dtype, self.buckets, self.limit, self.combine = np.dtype(dtype), buckets, limit, combine
+    split(rows) may part the rows into those to be grouped by key and those whose answer this task knows already; the latter go, by their own
+    first column, to buckets from `buckets` on, which by_bucket() hands through. So a hot key arrives once per task and not once per row.
+    """
+
+    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 12 << 20, split: Callable | None = None):
+        self.dtype, self.buckets, self.limit, self.split = np.dtype(dtype), buckets, limit, split
         self.parts: list[np.ndarray] = []
         self.size = 0
 
@@ -265,16 +269,20 @@ class Packer:
             return
         rows = np.concatenate(self.parts)
         self.parts, self.size = [], 0
-        if self.combine:
-            rows = self.combine(rows)
-        key = rows[self.dtype.names[0]]
-        bucket = bucket_of(key, self.buckets)
+        if self.split:
+            rows, known = self.split(rows)
+            yield from self._blocks(known, self.buckets)
+        yield from self._blocks(rows, 0)
+
+    def _blocks(self, rows: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
+        names = rows.dtype.names
+        bucket = bucket_of(rows[names[0]], self.buckets)
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
         rows, edges = rows[order], np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             own = rows[edges[b] : edges[b + 1]]
-            blob = b"".join([len(own).to_bytes(8, "little"), *(np.ascontiguousarray(own[c]).tobytes() for c in self.dtype.names)])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOCK)
+            blob = b"".join([len(own).to_bytes(8, "little"), *(np.ascontiguousarray(own[c]).tobytes() for c in names)])
+            yield pa.RecordBatch.from_arrays([pa.array([b + shift], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOCK)
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -296,9 +304,15 @@ def in_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
-def by_bucket(blocks: DataFrame, work: Callable[[list[bytes]], pa.Table], schema: str) -> DataFrame:
-    """work() on the blocks of each bucket, in one call."""
-    return blocks.groupBy("bucket").applyInArrow(lambda group: work(group["block"].to_pylist()), schema)
+def by_bucket(blocks: DataFrame, work: Callable[[list[bytes]], pa.Table], schema: str, buckets: int | None = None) -> DataFrame:
+    """work() on the blocks of each bucket, in one call; those from `buckets` on are handed through to the bucket of that number less `buckets`."""
+
+    def one(group: pa.Table) -> pa.Table:
+        if buckets is not None and (b := group["bucket"][0].as_py()) >= buckets:
+            return pa.table({"bucket": pa.array([b - buckets] * group.num_rows, pa.int32()), "block": group["block"]})
+        return work(group["block"].to_pylist())
+
+    return blocks.groupBy("bucket").applyInArrow(one, schema)
 
 
 def segments(*sorted_keys: np.ndarray) -> np.ndarray:
