@@ -7,9 +7,10 @@
 3. Index-level skipping: a list is sorted by set size and cut into blocks whose sizes can match; sizes and
    positions bound the overlap of a pair, which is skipped if the bound is too low.
 4. Answer-level skipping: in each block only one set (the leader, by one of a few fixed orders) meets all others.
-   A set whose similarity with the leader is verified shares the leader's group, so its pairs with the leader's other
-   partners need no work. Pairs that the first round leaves in different groups are all examined in the second
-   round (those whose bitmaps differ in too many bits are skipped, the rest verified); thus no link between groups is
+   A set whose similarity with the leader is verified shares the leader's group, so its pairs with the group need no work. Pairs that the
+   first round leaves in different groups are all examined in the second round: those whose bitmaps differ in too many bits are
+   skipped, the answers for a set are derived from the computed ones of the set most like it (what they don't share bounds the difference), and
+   only pairs that this leaves open are compared by their texts. Thus no link between groups is
    lost, and a group of copies costs work in proportion to its size.
 """
 
@@ -27,6 +28,8 @@ from .components import components
 CELL_BITS = 22
 #: Cells go to the driver in this many ranges.
 RANGES = 16
+#: Tasks whose counts are added in one.
+FAN = 64
 #: A task's cells with fewer hits are left out of the order's counts (as in lossy counting).
 LEAST_HITS = 3
 #: Postings in a bucket of the index, about.
@@ -39,6 +42,7 @@ ORDERS = 8
 #: Bits of the parity map of a set; two maps differ in no more bits than their sets in shingles.
 MAP_BITS = 1024
 
+_CELLS_OF = np.dtype([("cell", "<u4"), ("count", "<u8")])
 _POSTING = [("name", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4")]
 
 
@@ -46,6 +50,14 @@ def _set_key(s: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keepdims=True) + np.uint64(len(s)))[0])
 
 
+def _cells(counts: np.ndarray) -> bytes:
+    """The cells that have a count, with it."""
+    at = np.flatnonzero(counts)
+    out = np.empty(len(at), _CELLS_OF)
+    out["cell"], out["count"] = at, counts[at]
+    return out.tobytes()
+
+
 def _classes(k: int):
     """Rows (id, th, n, key) of all texts; and the counts of this task's cells, as rows with a range."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("range", pa.int32()), ("cells", pa.binary())])
@@ -71,8 +83,7 @@ def _classes(k: int):
         blobs = []
         for r in range(RANGES):
             own = counts[r * size : (r + 1) * size]
-            at = np.flatnonzero(own >= LEAST_HITS)
-            blobs.append(at.astype("<u4").tobytes() + own[at].astype("<u4").tobytes())
+            blobs.append(_cells(np.where(own >= LEAST_HITS, own, 0)))
         nothing = pa.nulls(RANGES, pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(range(RANGES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -80,20 +91,28 @@ def _classes(k: int):
 
 
 def _order(found: DataFrame) -> np.ndarray:
-    """The rank of each cell by its total count, a byte for each: 4 log2(1 + count)."""
+    """The rank of each cell by its total count, a byte for each: 4 log2(1 + count). Counts are added in a tree, so that no task reads from all others."""
     size = (1 << CELL_BITS) // RANGES
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r, cells in zip(batch["range"].to_pylist(), batch["cells"].to_pylist(), strict=True):
-                both = np.frombuffer(cells, "<u4").reshape(2, -1)
-                np.add.at(total.setdefault(r, np.zeros(size, np.uint64)), both[0].astype(np.int64), both[1].astype(np.uint64))
-        for r, t in total.items():
-            ranks = np.round(4 * np.log2(1.0 + t)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([ranks.tobytes()], pa.binary())], names=["range", "ranks"])
-
-    parts = in_arrow(found.where("range is not null").select("range", "cells").repartition(RANGES, "range"), add, "range int, ranks binary")
+    def add(last: bool):
+        def run(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for r, cells in zip(batch["range"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                    cell, count = np.frombuffer(cells, _CELLS_OF)["cell"], np.frombuffer(cells, _CELLS_OF)["count"]
+                    total.setdefault(r, np.zeros(size, np.uint64))[cell] += count  # a cell stands once in a row
+            for r, t in total.items():
+                out = np.round(4 * np.log2(1.0 + t)).astype(np.uint8).tobytes() if last else _cells(t)
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([out], pa.binary())], names=["range", "cells"])
+
+        return run
+
+    parts = found.where("range is not null").select("range", "cells")
+    tasks = parts.where("range = 0").count()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        parts = in_arrow(parts.withColumn("group", F.pmod(F.xxhash64("cells"), F.lit(tasks))).repartition(RANGES * tasks, "range", "group").select("range", "cells"), add(False), "range int, cells binary")
+    parts = in_arrow(parts.repartition(RANGES, "range"), add(True), "range int, ranks binary")
     order = np.zeros((RANGES, size), np.uint8)
     for r, ranks in parts.collect():  # one row for each range: 4 MB in all, whatever the input
         order[r] = np.frombuffer(ranks, np.uint8)
@@ -192,22 +211,23 @@ def _lists(percent: int):
 
 
 def _cross(percent: int):
-    """Of sorted rows: the pairs of a list's blocks x and y that are in different groups and can match."""
+    """Of sorted rows: the pairs of a list's outsiders (role 0) and members (role 1) that are in different groups and can match."""
+    names = ("name", "x", "y", "role", "root", "key", "n", "pos", "outside")
 
     def pairs(rows: list[dict[str, np.ndarray]]):
         c = {k: np.concatenate([r[k] for r in rows]) for k in rows[0]}
         out_a, out_b = [], []
         for low, high in zip((e := segments(c["name"], c["x"], c["y"]))[:-1], e[1:], strict=True):
             own = {k: v[low:high] for k, v in c.items()}
-            if own["root"].min() == own["root"].max():
-                continue
-            for i in range(high - low - 1):  # sizes ascend: those after i that are too large end the row
-                end = i + 1 + int(np.searchsorted(own["n"][i + 1 :], 100 * int(own["n"][i]) // percent, "right"))
-                j = np.arange(i + 1, end)
-                j = j[(own["root"][j] != own["root"][i]) & ((own["block"][j] != own["block"][i]) | (own["x"][i] == own["y"][i]))]
+            first = int(np.searchsorted(own["role"], 1))
+            sizes = own["n"][first:]  # ascending
+            for i in range(first):
+                n = int(own["n"][i])
+                j = first + np.arange(np.searchsorted(sizes, -(-percent * n // 100)), np.searchsorted(sizes, 100 * n // percent, "right"))
+                j = j[(own["root"][j] != own["root"][i]) & ~(own["outside"][j] & (own["key"][j] < own["key"][i]))]  # two outsiders meet once
                 j = j[_can_match(own["n"][j], own["pos"][j], own["n"][i : i + 1], own["pos"][i : i + 1], percent)]
                 if len(j):
-                    total = own["n"][j].astype(np.int64) + int(own["n"][i])
+                    total = own["n"][j].astype(np.int64) + n
                     apart = np.bitwise_count(own["map"][j] ^ own["map"][i]).sum(axis=1, dtype=np.int64)
                     j = j[apart <= total - 2 * -(-percent * total // (100 + percent))]
                 out_a.append(np.full(len(j), own["key"][i]))
@@ -219,7 +239,7 @@ def _cross(percent: int):
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            own = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("name", "x", "y", "root", "key", "n", "pos", "block")}
+            own = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
             if not batch.num_rows:
                 continue
             own["map"] = np.frombuffer(b"".join(batch["map"].to_pylist()), "<u8").reshape(batch.num_rows, -1)
@@ -255,13 +275,13 @@ def _maps(k: int):
     return run
 
 
-def _verify(k: int, percent: int):
-    """Of rows sorted by leader, its own row (b is null) first: the pairs that reach the similarity."""
+def _overlaps(k: int):
+    """Of rows sorted by leader, its own row (b is null) first: the sizes of each pair's sets and of what they share."""
 
     def run(batches):
         leader, own = None, np.zeros(0, np.uint64)
         for rows, data, offsets in pieces(batches):
-            out_a, out_b = [], []
+            out: list[tuple[int, int, int, int, int]] = []
             for a, b, s in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), shingle_sets(Words(data, offsets), k), strict=True):
                 if b is None:
                     leader, own = a, s
@@ -269,21 +289,40 @@ def _verify(k: int, percent: int):
                 assert a == leader
                 at = np.searchsorted(own, s)
                 both = int((own[np.minimum(at, len(own) - 1)] == s).sum()) if len(own) else 0
-                if 100 * both >= percent * (len(own) + len(s) - both) > 0:
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                out.append((a, b, len(own), len(s), both))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["a", "b", "na", "nb", "both"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """A leader's text meets its partners' one after another; partners are dealt out, so many partners are many tasks."""
+def _met(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, na, nb, both) of pairs (a, b). A leader's text meets its partners' one after another; partners are dealt out, so many partners are many tasks."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     member = pairs.join(parts, "a").join(texts.drop("map"), F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "text")
     lead = parts.join(texts.drop("map"), F.col("a") == F.col("key")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     rows = lead.unionByName(member).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return in_arrow(rows.select("a", "b", "text"), _verify(k, percent), "a long, b long")
+    return in_arrow(rows.select("a", "b", "text"), _overlaps(k), "a long, b long, na long, nb long, both long")
+
+
+def _is_link(both, na, nb, percent: int):
+    return 100 * both >= percent * (na + nb - both)
+
+
+def derived(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Answers for pairs (a, b) from the computed answers `met` of sets that are linked with a or b: pairs, and link (null: open).
+
+    If y is linked with x, and both(y, z) is known, then both(x, z) is at least both(y, z) - |y without x| and at most both(y, z) + |x without y|. Of the sets
+    linked with x the one that shares most with it is asked.
+    """
+    ways = met.select("a", "b", "na", "nb", "both").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "both"))
+    near = ways.where(_is_link(F.col("both"), F.col("na"), F.col("nb"), percent)).groupBy(F.col("a").alias("x"))
+    near = near.agg(F.max(F.struct(F.expr("both / (na + nb - both)").alias("near"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "both")).alias("m")).select("x", "m.y", "m.nx", "m.ny", F.col("m.both").alias("xy"))
+    asked = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("z")).unionByName(pairs.select("a", "b", F.col("b").alias("x"), F.col("a").alias("z")))
+    known = asked.join(near, "x").join(ways.select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("nb").alias("nz"), F.col("both").alias("yz")), ["y", "z"])
+    least, most = F.greatest(F.col("yz") - (F.col("ny") - F.col("xy")), F.lit(0)), F.least(F.col("yz") + F.col("nx") - F.col("xy"), "nx", "nz")
+    link = F.when(_is_link(least, F.col("nx"), F.col("nz"), percent), True).when(~_is_link(most, F.col("nx"), F.col("nz"), percent), False)
+    found = known.groupBy("a", "b").agg(F.max(link).alias("link"))
+    return pairs.join(found, ["a", "b"], "left")
 
 
 _real = lambda c: F.when(F.col(c) != MAX_ID, F.col(c))
@@ -322,22 +361,27 @@ def _groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     texts = rows.join(first, ["id", "th"]).dropDuplicates(["id", "th", "key"]).select("key", "text")
     texts = saved(in_arrow(texts, _maps(k), "key long, text string, map binary"))
 
-    links = saved(_verified(pairs, texts, k, percent))
-    groups = saved(components(links))
+    met = saved(_met(pairs, texts, k))
+    is_link = _is_link(F.col("both"), F.col("na"), F.col("nb"), percent)
+    groups = saved(components(met.where(is_link).select("a", "b")))
     placed = lists.join(groups, F.col("key") == F.col("node"), "left").select("name", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    open_lists = placed.groupBy("name").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = (
-        placed.join(open_lists.select("name", blocks.alias("blocks")), "name")
-        .join(texts.select("key", "map"), "key")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("name", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "root", "key", "n", "pos", "block", "map")
-    )
-    sorted_lists = dealt.repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "n", "key")  # lists are of bounded blocks
+    # Of a list that still has several groups, the members outside its largest group meet all the others, in blocks.
+    size = placed.groupBy("name", "root").agg(F.count("*").alias("size"))
+    open_lists = size.groupBy("name").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main")).where("size > main.size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_lists = open_lists.select("name", F.col("main.root").alias("main"), blocks(F.col("size") - F.col("main.size")).alias("xs"), blocks(F.col("size")).alias("ys"))
+    dealt = placed.join(open_lists, "name").join(texts.select("key", "map"), "key").withColumn("outside", F.col("root") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["name", "x", "y", "role", "root", "key", "n", "pos", "outside", "map"]
+    outsiders = dealt.where("outside").withColumns({"x": own("xs"), "role": F.lit(0)}).withColumn("y", each("ys")).select(columns)
+    everyone = dealt.withColumns({"y": own("ys"), "role": F.lit(1)}).withColumn("x", each("xs")).select(columns)
+    sorted_lists = outsiders.unionByName(everyone).repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "role", "n", "key")
     cross = in_arrow(sorted_lists, _cross(percent), "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(_verified(saved(cross.join(done, ["a", "b"], "left_anti")), texts, k, percent))
+    cross = saved(derived(saved(cross.join(done, ["a", "b"], "left_anti")), met, percent))
+    rest = _met(cross.where("link is null").select("a", "b"), texts, k).where(is_link)
+    more = saved(cross.where("link").select("a", "b").unionByName(rest.select("a", "b")))
     groups = saved(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
     least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
@@ -350,6 +394,7 @@ def _groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id of ngram_jaccard_groups()."""
     return ngram_jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
