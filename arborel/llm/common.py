@@ -246,10 +246,11 @@ class Packer:
 
     split(rows) may part the rows into those to be grouped by key and those whose answer this task knows already; the latter go, by their own
     first column, to buckets from `buckets` on, which by_bucket() hands through. So a hot key arrives once per task and not once per row.
+    deal(rows) may give other 64-bit values than the key column to choose buckets by.
     """
 
-    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 12 << 20, split: Callable | None = None):
-        self.dtype, self.buckets, self.limit, self.split = np.dtype(dtype), buckets, limit, split
+    def __init__(self, dtype: list[tuple[str, str]], buckets: int, limit: int = 12 << 20, split: Callable | None = None, deal: Callable | None = None):
+        self.dtype, self.buckets, self.limit, self.split, self.deal = np.dtype(dtype), buckets, limit, split, deal
         self.parts: list[np.ndarray] = []
         self.size = 0
 
@@ -276,7 +277,7 @@ class Packer:
 
     def _blocks(self, rows: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
         names = rows.dtype.names
-        bucket = bucket_of(rows[names[0]], self.buckets)
+        bucket = bucket_of(self.deal(rows) if self.deal else rows[names[0]], self.buckets)
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
         rows, edges = rows[order], np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):

@@ -3,7 +3,7 @@
 1. Every text becomes its set of distinct word shingles; texts with equal sets are one *class*.
 2. All shingles are counted in a table of fixed size, which gives a global order, rare first. Sets whose
    Jaccard similarity reaches t share a shingle among the first n - ceil(t n) + 1 of each, so only these
-   go to the inverted index (with their position), in buckets of bounded size.
+   go to the inverted index (with their position), in buckets of bounded size; a common shingle's list is dealt to several.
 3. Index-level skipping: a list is sorted by set size and cut into blocks whose sizes can match; sizes and
    positions bound the overlap of a pair, which is skipped if the bound is too low.
 4. Answer-level skipping: in each block only one set (the leader, by one of a few fixed orders) meets all others.
@@ -34,6 +34,8 @@ FAN = 64
 LEAST_HITS = 3
 #: Postings in a bucket of the index, about.
 BUCKET_ROWS = 300_000
+#: A cell with so many times the mean count holds common shingles, whose lists are dealt to several buckets.
+HOT = 64
 #: Members of a list or partners of a leader that are worked on together.
 BLOCK = 2048
 
@@ -119,10 +121,21 @@ def _order(found: DataFrame) -> np.ndarray:
     return order.reshape(-1)
 
 
-def _postings(k: int, percent: int, order, buckets: int):
+def _parts(shingles: int) -> np.ndarray:
+    """In how many parts lists are dealt, by the rank of their cell: more than one if the cell's count is beyond a bucket and far beyond the mean cell's."""
+    counts = 2 ** (np.arange(256) / 4)
+    hot = counts > max(BUCKET_ROWS, HOT * shingles / (1 << CELL_BITS))
+    return np.where(hot, np.ceil(counts / BUCKET_ROWS), 1).astype(np.uint64)
+
+
+def _postings(k: int, percent: int, order, buckets: int, parts: np.ndarray):
+    def deal(rows):
+        own = parts[(rows["name"] >> np.uint64(56)).astype(np.int64)]
+        return mix(rows["name"] + mix(rows["key"]) % own)
+
     def run(batches):
         rank, seen = order.value, set()
-        packer = Packer(_POSTING, buckets)
+        packer = Packer(_POSTING, buckets, deal=deal)
         for _, data, offsets in pieces(batches):
             names, keys, sizes, places = [], [], [], []
             for s in shingle_sets(Words(data, offsets), k):
@@ -165,49 +178,76 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[keep], b[keep]
 
 
-def _lists(percent: int):
-    """Of a bucket: candidate pairs (leader, member) and, with their names, the lists of three sets and more."""
+def _stars(name, key, n, pos, percent: int):
+    """Of postings sorted by name, size and key: each row's leader, as a place, and the pairs of a leader and a member that can match."""
+    edge = segments(name)
+    size = np.diff(edge)
+    if not len(name):
+        return np.zeros(0, np.int64), key, key
+    # Blocks: from a list's first set on, or from the first that is too large for the block before.
+    start, at = np.repeat(edge[:-1], size), np.arange(len(name))
+    while (far := 100 * n[start].astype(np.int64) < percent * n.astype(np.int64)).any():
+        nearest = np.minimum.reduceat(np.where(far, at, len(name)), edge[:-1])
+        start = np.where(far, np.repeat(nearest, size), start)
+    block = segments(start)
+    rank = mix(key ^ (name % np.uint64(ORDERS)) * np.uint64(0x9E3779B97F4A7C15))
+    lowest = np.repeat(np.minimum.reduceat(rank, block[:-1]), np.diff(block))
+    leader = np.repeat(np.minimum.reduceat(np.where(rank == lowest, at, len(name)), block[:-1]), np.diff(block))
+    pair = (leader != at) & _can_match(n[leader], pos[leader], n, pos, percent)
+    return leader, *_distinct_pairs(key[leader[pair]], key[pair])
+
+
+_LISTS = "name long, a long, b long, n int, pos int"
+
+
+def _rows(name, a, b, n, pos) -> pa.RecordBatch:
+    signed = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64))
+    small = lambda x: pa.nulls(len(a), pa.int32()) if x is None else pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays([signed(name), signed(a), signed(b), small(n), small(pos)], names=["name", "a", "b", "n", "pos"])
+
+
+def _lists(percent: int, parts: np.ndarray):
+    """Of a bucket: candidate pairs (leader, member); with their names, the lists of three sets and more; and the leaders of lists that are dealt out, once more, with b = a."""
 
     def work(blocks):
         c = unpack(blocks, _POSTING)
         order = np.argsort(c["name"], kind="stable")
         edge = segments(c["name"][order])
         size = np.diff(edge)
-        order = order[np.repeat(size > 1, size)]
+        many = parts[(c["name"][order] >> np.uint64(56)).astype(np.int64)] > 1
+        order = order[many | np.repeat(size > 1, size)]
         name, key, n, pos = (c[x][order] for x in ("name", "key", "n", "pos"))
         order = np.lexsort((key, n, name))
         order = order[segments(name[order], key[order])[:-1]]
         name, key, n, pos = (x[order] for x in (name, key, n, pos))
-        edge = segments(name)
-        size = np.diff(edge)
-        first, last = np.repeat(edge[:-1], size), np.repeat(edge[1:], size)
-        # Blocks: from a list's first set on, or from the first that is too large for the block before.
-        start, at = first.copy(), np.arange(len(name))
-        while len(name) and (far := 100 * n[start].astype(np.int64) < percent * n.astype(np.int64)).any():
-            nearest = np.minimum.reduceat(np.where(far, at, len(name)), edge[:-1])
-            start = np.where(far, np.repeat(nearest, size), start)
-        block = segments(start)
-        rank = mix(key ^ (name % np.uint64(ORDERS)) * np.uint64(0x9E3779B97F4A7C15))
-        if len(name):
-            lowest = np.repeat(np.minimum.reduceat(rank, block[:-1]), np.diff(block))
-            leader = np.repeat(np.minimum.reduceat(np.where(rank == lowest, at, len(name)), block[:-1]), np.diff(block))
-            pair = (leader != at) & _can_match(n[leader], pos[leader], n, pos, percent)
-            a, b = _distinct_pairs(key[leader[pair]], key[pair])
-        else:
-            a = b = key
-        more = last - first > 2
-        lists = [x[more] for x in (name, key, n, pos)]
-        empty = pa.nulls(len(a), pa.int64())
-        small = pa.nulls(len(a), pa.int32())
-        signed = lambda x: pa.array(x.view(np.int64))
-        top = pa.RecordBatch.from_arrays([empty, signed(a), signed(b), small, small], names=["name", "a", "b", "n", "pos"])
-        rest = pa.RecordBatch.from_arrays(
-            [signed(lists[0]), signed(lists[1]), pa.nulls(len(lists[0]), pa.int64()), pa.array(lists[2].astype(np.int32)), pa.array(lists[3].astype(np.int32))],
-            names=["name", "a", "b", "n", "pos"],
+        leader, a, b = _stars(name, key, n, pos, percent)
+        size = np.diff(segments(name))
+        many = parts[(name >> np.uint64(56)).astype(np.int64)] > 1
+        more = many | np.repeat(size > 2, size)
+        head = np.unique(leader[many])
+        return pa.Table.from_batches(
+            [
+                _rows(None, a, b, None, None),
+                _rows(name[more], key[more], None, n[more], pos[more]),
+                _rows(name[head], key[head], key[head], n[head], pos[head]),
+            ]
         )
-        return pa.Table.from_batches([top, rest])
 
-    return work, "name long, a long, b long, n int, pos int"
+    return work
+
+
+def _heads(percent: int):
+    """Candidate pairs among the leaders of the parts of one list."""
+
+    def work(group: pa.Table) -> pa.Table:
+        name, key = (group[c].to_numpy().view(np.uint64) for c in ("name", "a"))
+        n, pos = (group[c].to_numpy() for c in ("n", "pos"))
+        order = np.lexsort((key, n))
+        order = order[segments(key[order])[:-1]]
+        _, a, b = _stars(*(x[order] for x in (name, key, n, pos)), percent)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return work
 
 
 def _cross(percent: int):
@@ -351,10 +391,11 @@ def _groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     shingles = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     order = spark.sparkContext.broadcast(_order(found))
     buckets = max(1, -(-shingles * (100 - percent) // (100 * BUCKET_ROWS)))
-    work, schema = _lists(percent)
-    index = saved(by_bucket(in_arrow(rows.select("text"), _postings(k, percent, order, buckets), "bucket int, block binary"), work, schema))
-    pairs = index.where("name is null").select("a", "b").distinct()
-    lists = index.where("name is not null").select("name", F.col("a").alias("key"), "n", "pos")
+    parts = _parts(shingles)
+    index = saved(by_bucket(in_arrow(rows.select("text"), _postings(k, percent, order, buckets, parts), "bucket int, block binary"), _lists(percent, parts), _LISTS))
+    heads = index.where("name is not null and a = b").groupBy("name").applyInArrow(_heads(percent), "a long, b long")
+    pairs = saved(index.where("name is null").select("a", "b").unionByName(heads).distinct())
+    lists = index.where("name is not null and b is null").select("name", F.col("a").alias("key"), "n", "pos")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(lists.select("key")).distinct()
     first = members.groupBy("key").agg(F.min(F.struct("id", "th")).alias("f")).join(wanted, "key").select("key", "f.id", "f.th")

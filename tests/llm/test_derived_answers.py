@@ -43,3 +43,15 @@ def test_counts_are_added_in_a_tree(spark, monkeypatch):
     data = cases.rows(3)
     found = jaccard.ngram_jaccard_groups(cases.frame(spark, data).repartition(7))
     assert Counter(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == cases.jaccard(data)
+
+
+def test_common_lists_are_dealt_out(spark, monkeypatch):
+    """Lists of a large group of near copies, in parts of a few rows each."""
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    draw = random.Random(6)
+    base = cases.text(draw, 50)
+    data = [(i, cases.edited(draw, base, 0.01 * (i % 7)), "s") for i in range(90)] + cases.rows(1)
+    assert jaccard._parts(10_000).max() > 1
+    found = jaccard.ngram_jaccard_groups(cases.frame(spark, data))
+    assert Counter(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == cases.jaccard(data)
