@@ -1,29 +1,38 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
-Lines are normalised and named by a hash; equal ones are counted before anything else. A line's SimHash has the majority of its words'
-hash bits; the counts of bits are packed in 16-bit fields of long integers, so that 16 sums do for 64 bits. Of max_distance + 2 blocks of
-the SimHash, two at least are equal in lines that differ in max_distance bits; each pair of blocks is a key. In each bucket of a key the
-smallest line (the leader) is compared with all others, by length and SimHash distance and then by edit distance; lines that are still in
-different groups after that are compared with each other. So a bucket of very many variants of one line costs work in proportion to
-its size, and no link between groups is lost. Of each connected group the first occurrence stays.
+Lines are normalised and named by a hash. A line's SimHash has 128 bits in eight blocks, and each block has its own words: a word's hash says
+to which block it belongs, and the majority of the hash bits of a block's words makes its 16 bits. So an edit of a word changes two blocks
+at most and leaves the others whole, where it would turn some bits of every block of a SimHash over all words. By the pigeonhole principle a few
+edits leave some block alike; in lines with fewer words, whose blocks tell little, two blocks together (a quarter) or two quarters. These are
+the keys on which lines are joined, by a hash of the counters behind their bits. In lines of very few words every word is a block of its own: the keys are the
+line without one of its words.
+
+In each bucket of a key the smallest line (the leader) is compared with all others, by length and SimHash distance and then by edit distance; lines that
+are still in different groups after that are compared with each other. So a bucket of very many variants of one line costs work in
+proportion to its size, and no link between groups is lost. Of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, prepare, saved, table
+from .common import MAX_ID, absent, prepare, saved, table
 from .components import components
 
 #: SimHash bits that may differ, and the least edit similarity: 1 - distance / longer length.
-MAX_DISTANCE, SIMILARITY = 3, 0.8
-#: Words of up to so many characters have no weight in a line with at least so many longer ones.
-SHORT, MANY = 3, 8
-#: Characters of a line whose words packed counters surely can take; longer lines are counted bit by bit.
-MOST_PACKED = 30_000
+MAX_DISTANCE, SIMILARITY = 48, 0.8
+#: Words of fewer bytes have no weight, unless a line has no others.
+LONG_WORD = 4
+#: Blocks and quarters with so many words are keys; smaller quarters in pairs that have so many together.
+SINGLE, PAIR = 4, 3
+#: Lines of up to so many words have keys of all their words but one; those of at least so many have blocks.
+FEW, ENOUGH = 11, 8
+#: Words that counters of eight bits take; longer lines are counted block by block.
+MOST_PACKED = 127
+BLOCKS, BITS = 8, 16
 #: ASCII characters but letters and digits.
 _MARKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
@@ -33,53 +42,90 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), f"[{_MARKS}]+", " "))
 
 
-def _long(value: int) -> str:
-    value = value if value < 1 << 63 else value - (1 << 64)
-    return f"{value}L" if value > -(1 << 63) else "(-9223372036854775807L - 1L)"
+def _words(lines: DataFrame) -> DataFrame:
+    """Of rows (seq, name, size, few, words): seq, name, size and h, the hash of each word that has weight; its last three bits are its block."""
+    each = lines.select("seq", "name", "size", "few", F.explode("words").alias("w")).where((F.octet_length("w") >= LONG_WORD) | F.col("few"))
+    return each.select("seq", "name", "size", F.xxhash64("w").alias("h"))
 
 
-def simhashes(words: DataFrame, packed: bool = True) -> DataFrame:
-    """Of rows (seq, name, size, words), seq being a row's own number: name, size and simhash, whose bit i is set if it is in more than half of the words' hashes.
+def _bit(k: int) -> str:
+    return f"shiftright(shiftleft(h, {63 - 8 - k}), 63)"  # all ones or all zeros
 
-    Words are counted as rows; their partial sums are one row for each line before anything is shuffled. packed: 16 sums of four counters each, for
-    at most MOST_PACKED words; else 64 sums.
+
+def packed_simhashes(lines: DataFrame) -> DataFrame:
+    """Of rows (seq, name, size, few, words), seq being a row's own number and no row having more than MOST_PACKED words: name, size, even and odd (the
+    SimHash's blocks 0, 2, 4, 6 and 1, 3, 5, 7, 16 bits each), n (words of each block, 8 bits each), and k0 to k7, a hash of each block's counters.
+
+    Bit k of a block is set if it is in more than half of the hashes of the block's words. Words are counted as rows in longs of eight counters; their partial
+    sums are one row for each line before anything is shuffled.
     """
-    each = words.select("seq", "name", "size", F.size("words").alias("n"), F.explode("words").alias("w")).withColumn("h", F.xxhash64("w"))
-    fields, mask = (16, "281479271743489L") if packed else (64, "1L")  # bits 0, 16, 32 and 48, or bit 0
-    sums = [F.sum(F.expr(f"shiftrightunsigned(h, {k}) & {mask}")).alias(f"s{k}") for k in range(fields)]
-    count = lambda k: f"shiftrightunsigned(s{k % 16}, {k // 16 * 16}) & 65535L" if packed else f"s{k}"
-    bits = " | ".join(f"if(2 * ({count(k)}) > n, {_long(1 << k)}, 0L)" for k in range(64))
-    return each.groupBy("seq", "name", "size", "n").agg(*sums).select("name", "size", F.expr(bits).alias("simhash"))
+    each = _words(lines).withColumn("u", F.expr("shiftleft(1L, cast((h & 7L) * 8 as int))"))
+    sums = [F.sum(F.expr(f"{_bit(k)} & u")).alias(f"s{k}") for k in range(BITS)]
+    found = each.groupBy("seq", "name", "size").agg(F.sum("u").alias("n"), *sums)
+    found = found.select("name", "size", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", *(f"s{k}" for k in range(BITS)))])
+    # In fields of 16 bits: 256 + count - (n - count) - 1 has bit 8 set if more than half have the bit.
+    field = lambda c, odd: f"(shiftrightunsigned({c}, {8 * odd}) & 71777214294589695L)"
+    more = lambda k, odd: f"(({field(f's{k}', odd)} + 72058693566333184L - ({field('n', odd)} - {field(f's{k}', odd)}) - 281479271743489L) & 72058693566333184L)"
+    half = lambda odd: F.expr(" | ".join(f"{'shiftrightunsigned' if k < 8 else 'shiftleft'}({more(k, odd)}, {abs(k - 8)})" for k in range(BITS)))
+    count = lambda of, c: f"shiftrightunsigned({of}, {8 * c}) & 255L"
+    keys = [F.expr(f"xxhash64({c}, {', '.join(count(x, c) for x in ['n', *(f's{k}' for k in range(BITS))])})").alias(f"k{c}") for c in range(BLOCKS)]
+    return found.select("name", "size", half(0).alias("even"), half(1).alias("odd"), "n", *keys)
+
+
+def simhashes(lines: DataFrame) -> DataFrame:
+    """What packed_simhashes() gives, for rows with any number of words (n counts 127 words of a block at most): a row for each block, and then one for each line."""
+    sums = [F.sum(F.expr(f"{_bit(k)} & 1L")).alias(f"s{k}") for k in range(BITS)]
+    found = _words(lines).groupBy("seq", "name", "size", F.expr("cast(h & 7L as int)").alias("block")).agg(F.count("*").alias("n"), *sums)
+    bits = " | ".join(f"if(2 * s{k} > n, {1 << k}L, 0L)" for k in range(BITS))
+    key = F.expr(f"xxhash64(block, n, {', '.join(f's{k}' for k in range(BITS))})")
+    found = found.select("seq", "name", "size", "block", F.expr(f"least(n, {MOST_PACKED})").alias("n"), F.expr(bits).alias("bits"), key.alias("key"))
+    half = lambda odd: F.bit_or(F.expr(f"if(block % 2 = {odd}, shiftleft(bits, cast(8 * (block - {odd}) as int)), 0L)"))
+    none = [F.expr(f"xxhash64({c}, {', '.join(['0L'] * (BITS + 1))})") for c in range(BLOCKS)]
+    keys = [F.coalesce(F.max(F.when(F.col("block") == c, F.col("key"))), none[c]).alias(f"k{c}") for c in range(BLOCKS)]
+    return found.groupBy("seq", "name", "size").agg(half(0).alias("even"), half(1).alias("odd"), F.sum(F.expr("shiftleft(n, 8 * block)")).alias("n"), *keys).drop("seq")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The lines of docs (doc_id, text) with letters or digits: row (a number for each row of docs), id, th, place, normal, and name, a hash of normal."""
+    """The lines of docs (doc_id, text) with letters or digits: row (a number for each row of docs), id, th, place, normal, its words' number, and name, a hash of normal."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), F.col("text"))
     rows = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
     lines = rows.select("row", "id", "th", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.col("line").rlike(f"[^{_MARKS}]"))
-    return lines.select("row", "id", "th", "place", normal(F.col("line")).alias("normal")).withColumn("name", F.xxhash64("normal"))
+    lines = lines.select("row", "id", "th", "place", normal(F.col("line")).alias("normal"))
+    spaces = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit("")))
+    return lines.withColumns({"name": F.xxhash64("normal"), "words": (spaces + 1).cast("int")})
+
 
+def keyed_lines(found: DataFrame) -> DataFrame:
+    """name, size (characters), even and odd (as simhashes() gives them) and the keys (null: none) of each line of enough words that occurrences() found."""
 
-def distinct_lines(found: DataFrame) -> DataFrame:
-    """name, simhash and size (characters) of each distinct line that occurrences() found."""
+    def own(wanted: Column) -> DataFrame:
+        few = ~F.col("normal").rlike(f"[^ ]{{{LONG_WORD}}}|[^ \\x00-\\x7F]")
+        return found.where(wanted).select(F.monotonically_increasing_id().alias("seq"), "name", F.length("normal").alias("size"), few.alias("few"), F.split("normal", " ").alias("words"))
 
-    def weighed(lines: DataFrame) -> DataFrame:
-        words = lines.select(F.monotonically_increasing_id().alias("seq"), "name", F.length("normal").alias("size"), F.split("normal", " ").alias("all"))
-        words = words.withColumn("heavy", F.filter("all", lambda w: F.length(w) > SHORT))
-        return words.select("seq", "name", "size", F.when(F.size("heavy") >= MANY, F.col("heavy")).otherwise(F.col("all")).alias("words"))
+    out = packed_simhashes(own(F.col("words").between(ENOUGH, MOST_PACKED))).unionByName(simhashes(own(F.col("words") > MOST_PACKED)))
+    n = [f"(shiftrightunsigned(n, {8 * c}) & 255L)" for c in range(BLOCKS)]
+    small = [f"{n[2 * q]} < {SINGLE} and {n[2 * q + 1]} < {SINGLE}" for q in range(4)]
+    whole = [f"({n[2 * q]} + {n[2 * q + 1]})" for q in range(4)]
+    each = [f"if({n[c]} >= {SINGLE}, k{c}, null)" for c in range(BLOCKS)]
+    each += [f"if({small[q]} and {whole[q]} >= {SINGLE}, xxhash64(k{2 * q}, k{2 * q + 1}), null)" for q in range(4)]
+    pair = lambda p, q: f"{whole[p]} < {SINGLE} and {whole[q]} < {SINGLE} and {whole[p]} + {whole[q]} >= {PAIR}"
+    each += [f"if({pair(p, q)}, xxhash64({', '.join(f'k{c}' for c in (2 * p, 2 * p + 1, 2 * q, 2 * q + 1))}), null)" for p, q in combinations(range(4), 2)]
+    return out.select("name", "size", "even", "odd", *[F.expr(e).alias(f"key{i}") for i, e in enumerate(each)])
 
-    short = simhashes(weighed(found.where(F.length("normal") <= MOST_PACKED)))
-    long = simhashes(weighed(found.where(F.length("normal") > MOST_PACKED)), packed=False)
-    return short.unionByName(long).groupBy("name").agg(F.min("simhash").alias("simhash"), F.min("size").alias("size"))
 
+def keys(lines: DataFrame) -> DataFrame:
+    """A row (key, name) for each key of each line of keyed_lines()."""
+    return lines.select(F.explode(F.array(*[c for c in lines.columns if c.startswith("key")])).alias("key"), "name").where("key is not null")
 
-def keys(lines: DataFrame, max_distance: int) -> DataFrame:
-    """A row (key, name, simhash) for each pair of blocks of each line."""
-    n = max_distance + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    block = lambda i: f"(shiftrightunsigned(simhash, {edges[i]}) & {(1 << (edges[i + 1] - edges[i])) - 1}L)"
-    each = [f"shiftleft({p}L, 58) | shiftleft({block(i)}, 29) | {block(j)}" for p, (i, j) in enumerate(combinations(range(n), 2))]
-    return lines.select(F.explode(F.array(*map(F.expr, each))).alias("key"), "name", "simhash")
+
+def few_keys(found: DataFrame) -> DataFrame:
+    """A row (key, name, size) for each distinct line of few words and each of its words: all the others, in any order; and one for all words."""
+    own = found.where(F.col("words") <= FEW).select("name", "normal").dropDuplicates(["name"])
+    hashes = F.transform(F.split("normal", " "), lambda w: F.shiftright(F.xxhash64(w), 5))  # so that their sum is no overflow
+    own = own.select("name", F.length("normal").alias("size"), hashes.alias("h"))
+    total = own.withColumn("total", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x))
+    left = F.array_distinct(F.concat(F.array("total"), F.transform("h", lambda x: F.col("total") - x)))
+    return total.select("name", "size", F.explode(left).alias("left")).where("left <> 0").select(F.xxhash64(F.lit(99), "left").alias("key"), "name", "size")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -100,33 +146,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where("greatest(length(ta), length(tb)) <= most or levenshtein(ta, tb, most) >= 0").select("a", "b")
 
 
+def _compared(pairs: DataFrame, lines: DataFrame, max_distance: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose lengths and SimHashes (where both have one) allow the wanted similarity."""
+    side = lambda c: lines.select(F.col("name").alias(c), *[F.col(x).alias(x + c) for x in ("size", "even", "odd")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    fits = F.least("sizea", "sizeb") >= similarity * F.greatest("sizea", "sizeb") - 1e-9
+    apart = F.bit_count(F.col("evena").bitwiseXOR(F.col("evenb"))) + F.bit_count(F.col("odda").bitwiseXOR(F.col("oddb")))
+    return both.where(fits & F.coalesce(apart <= max_distance, F.lit(True))).select("a", "b")
+
+
 def line_groups(found: DataFrame, max_distance: int = MAX_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """Of a table that occurrences() made: (name, root) of each line that is linked with another."""
-    lines = saved(distinct_lines(found))
-    bucket = Window.partitionBy("key")
-    whole = keys(lines, max_distance).withColumns({"leader": F.min(F.struct("name", "simhash")).over(bucket), "n": F.count("*").over(bucket)})
-    shared = saved(whole.where("n > 1"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
-    fits = lambda m, n: F.least(F.col(m), F.col(n)) >= similarity * F.greatest(F.col(m), F.col(n)) - 1e-9
-    sizes = lines.select("name", "size")
-
-    stars = shared.where(F.col("leader.name") != F.col("name")).where(near("leader.simhash", "simhash")).select(F.col("leader.name").alias("a"), F.col("name").alias("b")).distinct()
-    stars = stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(fits("na", "nb"))
-    stars = saved(stars.select("a", "b"))
+    lines = saved(keyed_lines(found))  # equal lines stand here as often as in found
+    few = saved(few_keys(found))
+    each = keys(lines).unionByName(few.select("key", "name"))
+    buckets = each.groupBy("key").agg(F.min("name").alias("leader"), F.max("name").alias("last"), F.count("*").alias("n")).where("leader <> last")
+    shared = saved(each.join(buckets.drop("last"), "key").distinct())
+    known = shared.select("name").distinct()
+    blocks = lines.select("name", "size", "even", "odd").join(known, "name", "left_semi").groupBy("name").agg(*[F.min(c).alias(c) for c in ("size", "even", "odd")])
+    others = few.select("name", "size").join(known, "name", "left_semi").distinct().join(blocks, "name", "left_anti")
+    lines = saved(blocks.unionByName(others.withColumns({"even": F.lit(None).cast("long"), "odd": F.lit(None).cast("long")})))
+
+    stars = shared.where("leader <> name").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct()
+    stars = saved(_compared(stars, lines, max_distance, similarity))
     many = shared.where("n > 2")
-    wanted = many.select("name").unionByName(stars.select(F.col("a").alias("name"))).unionByName(stars.select(F.col("b").alias("name"))).distinct()
-    texts = saved(found.select("name", "normal").join(wanted, "name").dropDuplicates(["name"]))
+    texts = saved(found.select("name", "normal").join(known, "name").dropDuplicates(["name"]))
     links = saved(_verified(stars, texts, similarity))
     roots = saved(components(links, native=True).withColumnRenamed("node", "name"))
 
     # Buckets that still hold several groups: their members outside the leader's group meet all the others.
-    placed = many.join(sizes, "name").join(roots, "name", "left").select("key", "name", "simhash", "size", F.col("leader.name").alias("lead_name"), F.coalesce("root", "name").alias("root"))
-    lead = roots.select(F.col("name").alias("lead_name"), F.col("root").alias("lead_root"))
-    placed = placed.join(lead, "lead_name", "left").withColumn("lead_root", F.coalesce("lead_root", "lead_name"))
-    outside = placed.where("root <> lead_root").select("key", F.col("name").alias("a"), F.col("simhash").alias("sa"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    others = placed.where(F.col("name") != F.col("lead_name")).select("key", F.col("name").alias("b"), F.col("simhash").alias("sb"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    cross = outside.join(others, "key").where("ra <> rb").where(near("sa", "sb") & fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = saved(_verified(saved(cross), texts, similarity))
+    placed = many.join(roots, "name", "left").select("key", "name", "leader", F.coalesce("root", "name").alias("root"))
+    lead = roots.select(F.col("name").alias("leader"), F.col("root").alias("lead_root"))
+    placed = placed.join(lead, "leader", "left").withColumn("lead_root", F.coalesce("lead_root", "leader"))
+    sizes = lines.select("name", "size")
+    outside = placed.where("root <> lead_root").join(sizes, "name").select("key", F.col("name").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
+    others = placed.where("name <> leader").join(sizes, "name").select("key", F.col("name").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
+    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    cross = outside.join(others, "key").where("ra <> rb").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = saved(_verified(saved(_compared(cross, lines, max_distance, similarity)), texts, similarity))
     # Groups that these links connect become one; only their roots take part.
     root_of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
     ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
@@ -140,8 +197,9 @@ def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, similarity: f
     """Which lines of docs (doc_id, text) go: one row for each text with words (rows equal in both columns share one), id, th, n_lines,
     removed (places of the lines that go, from 0).
 
-    Two lines are linked if their normal forms are equal, or if their SimHashes differ in max_distance bits at most and their edit
-    similarity is similarity or more. Of the lines that links connect, the first by doc_id (null last), text hash and place stays. Lines
+    Two lines are linked if their normal forms are equal, or if they share a key, their SimHashes differ in max_distance of 128 bits at most and their edit
+    similarity is similarity or more. (A word edited or replaced always leaves a key that both lines have, as long as the other words leave one; several edits mostly
+    do.) Of the lines that links connect, the first by doc_id (null last), text hash and place stays. Lines
     without letters and digits aren't compared and always stay; texts that are null or have no other lines give no row. Lines are
     named by 64-bit hashes. Other columns are ignored. No rows give no rows.
     """
@@ -158,12 +216,13 @@ def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, similarity: f
 
 def with_lines_removed(docs: DataFrame, **options) -> DataFrame:
     """docs and new columns n_lines (lines with words), n_removed and kept_text: the text without the lines that dedup_lines() removes."""
-    gone = dedup_lines(docs, **options).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "n_lines", "removed")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), "_th": F.xxhash64("text")})
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (l, i) -> struct(l, i)), p -> not array_contains(removed, p.i)), p -> p.l), '\\n')")
-    out = rows.join(gone, ["_id", "_th"], "left")
-    removed = F.coalesce(F.size("removed"), F.lit(0))
-    return out.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "n_removed": removed.cast("long"), "kept_text": F.when(removed > 0, kept).otherwise(F.col("text"))}).drop("_id", "_th", "removed")
+    id_, th, gone, lines = absent(docs, "_id", "_th", "_gone", "_lines")
+    found = dedup_lines(docs, **options).select(F.col("id").alias(id_), F.col("th").alias(th), F.col("n_lines").alias(lines), F.col("removed").alias(gone))
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)), th: F.xxhash64("text")})
+    kept = F.expr(f"array_join(transform(filter(transform(split(text, '\\n', -1), (l, i) -> struct(l, i)), p -> not array_contains({gone}, p.i)), p -> p.l), '\\n')")
+    out = rows.join(found, [id_, th], "left")
+    removed = F.coalesce(F.size(gone), F.lit(0))
+    return out.withColumns({"n_lines": F.coalesce(lines, F.lit(0)), "n_removed": removed.cast("long"), "kept_text": F.when(removed > 0, kept).otherwise(F.col("text"))}).drop(id_, th, gone, lines)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -219,8 +219,7 @@ def test_fuzzy_lines_equal_brute_force(spark):
     docs = cases.frame(spark, data)
     got = {(r.id, p) for r in lines.dedup_lines(docs).collect() for p in r.removed}
     found = lines.occurrences(docs).collect()
-    hashes = {r.name: r.simhash for r in lines.distinct_lines(lines.occurrences(docs)).collect()}
-    names = {r.name: (hashes[r.name], r.normal) for r in found}
+    names = {r.name: r.normal for r in found}
     parent = {n: n for n in names}
 
     def root(x):
@@ -240,8 +239,8 @@ def test_fuzzy_lines_equal_brute_force(spark):
     keys = list(names)
     for k, a in enumerate(keys):
         for b in keys[:k]:
-            (sa, ta), (sb, tb) = names[a], names[b]
-            if ((sa ^ sb) & (1 << 64) - 1).bit_count() <= lines.MAX_DISTANCE and len(ta) < 5000 and distance(ta, tb) <= (1 - lines.SIMILARITY) * max(len(ta), len(tb)):
+            ta, tb = names[a], names[b]
+            if min(len(ta), len(tb)) >= lines.SIMILARITY * max(len(ta), len(tb)) and distance(ta, tb) <= (1 - lines.SIMILARITY) * max(len(ta), len(tb)):
                 parent[root(a)] = root(b)
     first = {}
     for r in found:
@@ -254,14 +253,48 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert kept[90] is None and kept[93] == "ok" and kept[92] == "\n"
 
 
-def test_simhash_counts_majorities(spark):
+def test_simhash_counts_majorities_by_block(spark):
     rng = random.Random(8)
-    sets = [[rng.choice(cases.WORDS) + str(rng.randrange(99)) for _ in range(n)] for n in (1, 2, 49, 50, 51, 300)]
-    df = spark.createDataFrame([(i, i, 9, s) for i, s in enumerate(sets)], "seq int, name int, size int, words array<string>")
+    sets = [[rng.choice(cases.WORDS) + str(rng.randrange(99)) for _ in range(n)] for n in (1, 2, 9, 49, 50, 51, 127)] + [["same" + str(i % 2) for i in range(127)]]
+    df = spark.createDataFrame([(i, i, 9, False, s) for i, s in enumerate(sets)], "seq long, name long, size int, few boolean, words array<string>")
     hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for s in sets for w in s], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
-    got, plain = ({r.name: r.simhash & (1 << 64) - 1 for r in lines.simhashes(df, packed=p).collect()} for p in (True, False))
+    columns = ["name", "size", "even", "odd", "n", *(f"k{c}" for c in range(8))]
+    packed, plain = ({r.name: r for r in f(df).select(columns).collect()} for f in (lines.packed_simhashes, lines.simhashes))
+    assert packed == plain
     for i, s in enumerate(sets):
-        assert got[i] == plain[i] == sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in s) > len(s))
+        for c in range(8):
+            own = [hashes[w] for w in s if hashes[w] & 7 == c]
+            want = sum(1 << k for k in range(16) if 2 * sum(h >> 8 + k & 1 for h in own) > len(own))
+            assert (packed[i].odd if c % 2 else packed[i].even) >> 16 * (c // 2) & 0xFFFF == want
+            assert packed[i].n >> 8 * c & 255 == len(own)
+
+
+@pytest.mark.parametrize("kind", ["letter", "word", "insert", "delete", "two words"])
+def test_edited_lines_are_found(spark, kind):
+    """Recall by edit similarity alone: lines of 5 to 80 words, each with one edited copy; different lines stay apart."""
+    rng = random.Random(kind)
+    new = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    data, n = [], 0
+    for size in range(8 if kind == "two words" else 5, 81, 3):
+        for _ in range(6):
+            w = [new() for _ in range(size)]
+            v, i = list(w), rng.randrange(size)
+            if kind == "letter":
+                v[i] = v[i][:-1] + "z"
+            elif kind == "insert":
+                v.insert(i, new())
+            elif kind == "delete":
+                del v[i]
+            else:
+                for j in rng.sample(range(size), 1 if kind == "word" else 2):
+                    v[j] = new()
+            a, b = " ".join(w), " ".join(v)
+            if a != b and len(a) * 0.8 > 2 * 8 + 3 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (kind != "word" or 8 <= 0.2 * len(a)) and (kind != "two words" or 16 <= 0.2 * len(a)):
+                data += [(2 * n, a, "s"), (2 * n + 1, b, "s")]
+                n += 1
+    gone = [(r.id, len(r.removed)) for r in lines.dedup_lines(cases.frame(spark, data)).collect() if r.removed]
+    assert all(i % 2 and k == 1 for i, k in gone)
+    assert len(gone) >= (0.9 if kind == "two words" else 0.99) * n > 100 * (kind != "two words")
 
 
 # --- decontamination ---------------------------------------------------------------------------------
