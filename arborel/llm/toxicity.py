@@ -2,15 +2,16 @@
 
 A bounded sample of labelled rows is cut in two. One half proposes lexicons (whole words) and patterns (word starts) by their
 log odds; with a few fixed lists and typographic patterns these are *voters*, which say toxic, clean or nothing. On the
-whole sample a generative model of the votes is fitted by EM: each voter's accuracy given the unknown true class, and the
-correlation of voters given that class, by which votes that say the same thing are discounted. A voter that repeats the given
-label takes part too, with an accuracy that is set and not fitted; it ties the model's classes to the wanted ones. The model's posterior classes then train a linear classifier over words and word
+other half a generative model of the votes is fitted by EM: each voter's accuracy given the unknown true class, and correlations, as
+pairwise factors of a tree over the voters. The given label is a voter like the others, whose accuracy is estimated too; EM
+begins with it, which ties the model's classes to the wanted ones. The model's posterior classes then train a linear classifier over words and word
 starts, which alone scores all texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,8 +29,12 @@ FEATURES = 1500
 LEAST_LOG_ODDS = 2.5
 #: Bytes of a word's start that are patterns.
 STARTS = (4, 5, 6)
-#: How often a given label is right.
+#: How often a given label is right, as EM assumes in its first round only.
 LABEL_ACCURACY = 0.98
+#: Labelled rows whose features have this Jaccard similarity count as copies, of which one is learned from; features by which they are found.
+NEAR_COPY, SKETCH, LEAST_SHARED = 0.75, 8, 3
+#: What is added to the counts of a vote, and to those of a vote by its parent's vote.
+PRIOR, PARENT_PRIOR = 1.0, 10.0
 #: Terms that each half-lexicon takes, and lists that they are dealt to.
 TERMS, LISTS = 240, 6
 _MAP_BITS = 22
@@ -111,39 +116,61 @@ def _hits(names: np.ndarray, docs: np.ndarray, terms: np.ndarray) -> tuple[np.nd
 
 
 class LabelModel:
-    """Dawid-Skene EM over votes -1, 0, 1, with votes discounted by their correlation given the class."""
+    """A generative model of votes -1, 0, 1 given the unknown class, with pairwise factors, fitted by EM.
+
+    Each voter's vote depends on the class and on the vote of one other voter, its parent in a tree: p(votes | class) is the product of p(vote | class, parent's
+    vote). The tree is the one with the highest total mutual information of its pairs given the class (so votes that say the same thing twice count once), and is
+    learned anew in each round. The given label is one of the voters; all accuracies are estimated, the label's too.
+    """
 
     def fit(self, votes: np.ndarray, labels: np.ndarray, fit_on: np.ndarray, rounds: int = 20) -> np.ndarray:
-        """The posterior of class 1 for each row; the voters' tables come from the rows fit_on."""
-        hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-        weight = np.ones(votes.shape[1])
-        given = np.where(labels > 0, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-        p = 1 / (1 + np.exp(-given))
-        for i in range(rounds):
-            q = p[fit_on]
-            prior = np.clip(q.mean(), 0.01, 0.99)
-            self.table = np.stack([(np.einsum("i,ijv->jv", r, hot[fit_on]) + 1) / (r.sum() + 3) for r in (1 - q, q)])
-            each = np.einsum("ijv,jv->ij", hot, np.log(self.table[1] / self.table[0]))
-            logit = given + np.log(prior / (1 - prior)) + each @ weight
+        """The posterior of class 1 for each row; the model comes from the rows fit_on. Without evidence a label is right with LABEL_ACCURACY, where EM begins."""
+        votes = np.column_stack([np.where(labels > 0, 1, -1), votes])
+        n, m = votes.shape
+        hot = np.zeros((n, 3 * m), np.float32)
+        hot[np.arange(n)[:, None], 3 * np.arange(m) + votes + 1] = 1
+        own = hot[fit_on]
+        p = np.where(labels > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
+        for _ in range(rounds):
+            q = p[fit_on].astype(np.float32)
+            # Counts of each pair of votes (voter, vote, voter, vote) by class.
+            pairs = np.stack([(own.T @ (own * r[:, None])).reshape(m, 3, m, 3) for r in (1 - q, q)]).astype(float)
+            totals = np.array([(1 - q).sum(), q.sum()], float) + 1e-9
+            single = np.einsum("cjvjv->cjv", pairs)
+            self.parent = self._tree(pairs, single, totals)
+            self.table = (single + PRIOR) / (totals[:, None, None] + 3 * PRIOR)  # p(vote | class)
+            self.accuracy = np.sum(totals * self.table[[0, 1], :, [0, 2]].T, axis=1) / np.maximum((totals[:, None] * (self.table[:, :, 0] + self.table[:, :, 2])).sum(axis=0), 1e-9)
+            prior = np.clip(totals[1] / totals.sum(), 0.01, 0.99)
+            logit = np.full(n, np.log(prior / (1 - prior)))
+            for j, k in enumerate(self.parent):
+                if k < 0:
+                    ratio = np.log(self.table[1, j] / self.table[0, j])[None, :].repeat(3, axis=0)
+                    k = j
+                else:  # shrunk to the vote's own table where a parent's vote is rare
+                    both = pairs[:, k, :, j, :]
+                    given = (both + PARENT_PRIOR * self.table[:, j][:, None, :]) / (both.sum(axis=2, keepdims=True) + PARENT_PRIOR)
+                    ratio = np.log(given[1] / given[0])
+                logit += ratio[votes[:, k] + 1, votes[:, j] + 1]
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            if i >= 2:
-                self.correlation = self._correlation(votes[fit_on], p[fit_on])
-                weight = 1 / (1 + np.abs(self.correlation).sum(axis=1))
-        self.weight = weight
         return p
 
     @staticmethod
-    def _correlation(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        total = np.zeros((votes.shape[1], votes.shape[1]))
-        for q in (p, 1 - p):
-            if q.sum() < 1e-6:
-                continue
-            x = votes - (q @ votes) / q.sum()
-            total += (x * q[:, None]).T @ x
-        scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        out = total / scale[:, None] / scale[None, :]
-        np.fill_diagonal(out, 0)
-        return out
+    def _tree(pairs: np.ndarray, single: np.ndarray, totals: np.ndarray) -> list[int]:
+        """Each voter's parent (-1: none) in the maximum spanning tree of mutual information given the class, with voter 0 as its root."""
+        joint = pairs / totals[:, None, None, None, None]
+        alone = single / totals[:, None, None]
+        expected = alone[:, :, :, None, None] * alone[:, None, None, :, :]
+        info = (totals[:, None, None] / totals.sum() * np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(expected, 1e-12)), 0).sum(axis=(2, 4))).sum(axis=0)
+        m = len(info)
+        parent, best, open_ = [-1] * m, info[0].copy(), set(range(1, m))
+        from_ = np.zeros(m, int)
+        while open_:
+            j = max(open_, key=lambda i: (best[i], -i))
+            open_.remove(j)
+            parent[j] = int(from_[j])
+            closer = info[j] > best
+            best, from_ = np.where(closer, info[j], best), np.where(closer, j, from_)
+        return parent
 
 
 class Classifier:
@@ -194,17 +221,40 @@ def _calibrate(logit: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
+def _one_of_near_copies(metas: list[tuple], names: np.ndarray) -> list[tuple]:
+    """Of (label, first name, number of names, ...) those that aren't near copies of an earlier one with the same label: whose names have a Jaccard similarity
+    under NEAR_COPY with those of each row kept that shares enough of their SKETCH smallest names (in another order of hashes)."""
+    kept, known = [], {}
+    for m in metas:
+        own = names[m[1] : m[1] + m[2]]
+        order = mix(own.astype(np.uint64))
+        sketch = np.sort(np.partition(order, min(SKETCH, len(own)) - 1)[:SKETCH] if len(own) else order).tolist()
+        near = Counter(k for x in sketch for k in known.get((x, m[0]), ()))
+        for k, shared in near.items():
+            if shared < min(LEAST_SHARED, len(sketch)):
+                continue
+            other = names[kept[k][1] : kept[k][1] + kept[k][2]]
+            if min(len(own), len(other)) >= NEAR_COPY * max(len(own), len(other)):
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= NEAR_COPY * (len(own) + len(other) - both):
+                    break
+        else:
+            if len(own) or not any(k[2] == 0 and k[0] == m[0] for k in kept):
+                for x in sketch:
+                    known.setdefault((x, m[0]), []).append(len(kept))
+                kept.append(m)
+    return kept
+
+
 def learn(rows: Iterable[tuple[int, bytes | bytearray, bool, bool]]) -> tuple[Classifier, LabelModel | None]:
     """A classifier from rows (label, features, shouts, exclaims), and the label model behind it."""
     data, metas = bytearray(), []
     for label, blob, shout, exclaim in rows:
-        few = tuple(np.partition(np.frombuffer(blob, "<u4"), 1)[:2].tolist()) if len(blob) > 8 else bytes(blob)
-        metas.append((label, len(data) // 4, len(blob) // 4, shout, exclaim, (few, label), hashlib.md5(blob).digest()))
+        metas.append((label, len(data) // 4, len(blob) // 4, shout, exclaim, hashlib.md5(blob).digest()))
         data += blob
-    names, kept = np.frombuffer(data, "<u4"), {}
-    for m in sorted(metas, key=lambda m: m[6]):  # by a hash, so that the result doesn't depend on the rows' order
-        kept.setdefault(m[5], m)  # of near copies, which share their smallest names, one
-    metas = list(kept.values())
+    names = np.frombuffer(data, "<u4")
+    metas.sort(key=lambda m: (m[5], m[0]))  # by a hash, so that the result doesn't depend on the rows' order
+    metas = _one_of_near_copies(metas, names)
     y = np.array([m[0] for m in metas], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.25
@@ -264,7 +314,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learns from rows of docs (doc_id, text) that labels (doc_id, toxic) marks and that aren't held out, at most TOXIC_ROWS and
-    CLEAN_ROWS of them. A doc_id with labels that differ counts as toxic; null labels and ids count for nothing; values over 0 mean
+    CLEAN_ROWS of them; of near copies (NEAR_COPY) with one label, one. A doc_id with labels that differ counts as toxic; null labels and ids count for nothing; values over 0 mean
     toxic. Without rows of both classes every text gets one score."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
