@@ -2,26 +2,30 @@
 
 A tree splits its points at the median of their widest dimension and keeps the tight bounding box of every node. No point
 of a box scores more than sum(max(q * low, q * high)), so a query goes through the nodes best bound first and ends where
-the bound falls below the k-th best score so far. That score is carried from shard to shard, and begins with the best among
-a few rows of the query block. Queries come in blocks of bounded bytes, which are broadcast; trees are rows of a saved table.
+the bound falls below the k-th best score so far. That score begins with the best among a few rows of the query block, is carried from tree to tree
+of a task, and from the trees of a first round to all others. Trees are rows of a saved table; queries are too, in blocks of bounded bytes, which
+every task reads one after another, so a task holds a few trees and one block whatever the input.
 """
 
 from __future__ import annotations
 
 import heapq
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, prepare, saved, table, width
+from .common import in_arrow, prepare, saved, scratch, table, width
 
 #: Points of a shard, about, and of a leaf at most.
 SHARD_ROWS, LEAF_ROWS = 32_768, 128
 #: Bytes of a query block, and rows of it that give the first k-th scores.
 QUERY_BYTES, SEED_ROWS = 8 << 20, 1024
+#: Share of the trees that are searched first, and trees that a task holds at most, about.
+FIRST_SHARE, TASK_TREES, SEED = 0.1, 8, 3
 SCALE = 256.0
 
 
@@ -120,21 +124,63 @@ def _build(dims: int):
     return run
 
 
-def _search(shared, k: int):
+def _packed(dims: int, k: int):
+    """Of a block of queries: one row with their ids, vectors and first k-th scores, those among the block's first rows."""
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vec_id")
+        ids, queries = group["vec_id"].to_numpy(), _matrix(group["embedding"], dims)
+        scores = queries @ queries[:SEED_ROWS].T
+        scores[ids[:, None] == ids[None, :SEED_ROWS]] = -np.inf
+        floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (ids.astype("<i8"), queries.astype("<f8"), floor.astype("<f8"))]
+        return pa.table([group["block"][:1], *blobs], names=["block", "ids", "queries", "floor"])
+
+    return work
+
+
+def _blocks(folder: str) -> Iterator[dict]:
+    """The rows of a table of query blocks in the shared folder, one after another."""
+    from pyarrow import dataset, fs
+
+    files, root = fs.FileSystem.from_uri(folder)
+    paths = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    for batch in dataset.dataset(paths, filesystem=files, format="parquet").to_batches(batch_size=1, batch_readahead=0, fragment_readahead=0) if paths else ():
+        yield from batch.to_pylist()
+
+
+def _search(folder: str, k: int):
+    """Every block of queries, one after another, through the trees of a task: the k-th scores go from tree to tree."""
+
     def run(batches):
-        ids, queries, floor = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            for data in batch["tree"]:
-                Tree.from_bytes(data.as_py()).search(ids, queries, k, best, floor)
-        n = [len(b) for b in best]
-        flat = [e for b in best for e in b]
-        columns = [np.repeat(np.arange(len(ids)), n), np.repeat(ids, n), np.array([-e[1] for e in flat], np.int64), np.array([e[0] for e in flat], np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
+        trees = [Tree.from_bytes(data.as_py()) for batch in batches for data in batch["tree"]]
+        for row in _blocks(folder) if trees else ():
+            ids, floor = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["floor"], "<f8")
+            queries = np.frombuffer(row["queries"], "<f8").reshape(len(ids), -1)
+            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            for tree in trees:
+                tree.search(ids, queries, k, best, floor)
+            n = [len(b) for b in best]
+            flat = [e for b in best for e in b]
+            columns = [np.full(len(flat), row["block"]), np.repeat(np.arange(len(ids)), n), np.repeat(ids, n), np.array([-e[1] for e in flat], np.int64), np.array([e[0] for e in flat], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "query", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _raised(group: pa.Table) -> pa.Table:
+    """A block's row with the k-th scores (query, kth) found so far."""
+    own = group.filter(group["ids"].is_valid())
+    floor = np.frombuffer(own["floor"][0].as_py(), "<f8").copy()
+    found = group.filter(group["kth"].is_valid())
+    at = found["query"].to_numpy()
+    floor[at] = np.maximum(floor[at], found["kth"].to_numpy())
+    return own.select(["block", "ids", "queries"]).append_column("floor", pa.array([floor.tobytes()], pa.binary()))
+
+
+_QUERIES = "block int, ids binary, queries binary, floor binary"
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The k rows of vectors (vec_id, embedding) with the highest inner products with each row whose vec_id is divisible by every.
 
@@ -147,26 +193,33 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     prepare(spark)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").where(F.forall("embedding", finite))
-    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    n, dims, n_queries = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.count_if(is_query)).first()
     shards = max(min(width(spark), -(-n // LEAF_ROWS)), -(-n // SHARD_ROWS), 1)
-    trees = saved(in_arrow(rows.repartition(shards), _build(dims), "tree binary"))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-asked.count() * max(dims, 1) * 8 // QUERY_BYTES))
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
-        ids, queries = own["vec_id"].to_numpy(), _matrix(own["embedding"], dims)
-        scores = queries @ queries[:SEED_ROWS].T
-        scores[ids[:, None] == ids[None, :SEED_ROWS]] = -np.inf
-        floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-        part = in_arrow(trees.repartition(shards), _search(spark.sparkContext.broadcast((ids, queries, floor)), k), "query long, query_id long, vec_id long, score long")
-        part = part.withColumn("block", F.lit(block))
-        found = part if found is None else found.unionByName(part)
+    trees = saved(in_arrow(rows.repartition(shards), _build(dims), "tree binary").withColumn("first", F.rand(SEED) < FIRST_SHARE))
+    blocks = max(1, -(-n_queries * max(dims, 1) * 8 // QUERY_BYTES))
+    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    folder = scratch(spark)
+    queries = saved(asked.groupBy("block").applyInArrow(_packed(dims, k), _QUERIES), folder)
+
+    def searched(own: DataFrame, folder: str) -> DataFrame:
+        tasks = min(shards, max(width(spark), -(-shards // TASK_TREES)))
+        return saved(in_arrow(own.select("tree").repartition(tasks), _search(folder, k), "block long, query long, query_id long, vec_id long, score long"))
+
+    # A few trees first: their k-th scores bound the search in all others.
     order = Window.partitionBy("block", "query", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = searched(trees.where("first"), folder)
+    kth = ranked(first).where(F.col("rank") == k).select(F.col("block").cast("int").alias("block"), "query", F.col("score").cast("double").alias("kth"))
+    both = queries.withColumns({"query": F.lit(None).cast("long"), "kth": F.lit(None).cast("double")}).unionByName(kth, allowMissingColumns=True)
+    raised = scratch(spark)
+    saved(both.groupBy("block").applyInArrow(_raised, _QUERIES), raised)
+    found = first.unionByName(searched(trees.where("not first"), raised))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Five rows for each query of the embeddings: query_id, rank, vec_id, score."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
