@@ -27,7 +27,7 @@ REPEATS = 2
 SEED = 17
 #: Words of a block at most, and the number of blocks below which blocks get smaller.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1 << 17
-#: Words of a shard, about, and shards of all sources, at most about: the driver gets a row for each.
+#: Words of a shard, about; and shards beyond one for each source, at most about. The driver gets a row for each source and for each shard.
 SHARD_WORDS, MOST_SHARDS = 2_000_000, 50_000
 
 
@@ -81,7 +81,7 @@ def _plan(spark, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         [(i, r["source"], r["size"], float(g), max(1, -(-r["size"] // per_shard))) for i, (r, g) in enumerate(zip(found, goals, strict=True))],
         "rank int, source string, source_size long, target double, shards int",
     )
-    placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select(
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(
         "rank", "id", "th", "size", "source_size", "target", F.pmod(F.xxhash64("id", "th", F.lit(SEED)), F.col("shards")).cast("int").alias("shard")
     )
     block = max(1, min(BLOCK_WORDS, total // LEAST_BLOCKS))
@@ -122,7 +122,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "source", word_count(F.col("text")).alias("size"))
     placed, plan = _plan(spark, saved(rows))
     run = Window.partitionBy("rank", "shard").orderBy("id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    at = placed.join(F.broadcast(plan), ["rank", "shard"], "left").withColumn("stop", F.sum("size").over(run)).withColumn("start", F.col("stop") - F.col("size"))
+    at = placed.join(plan, ["rank", "shard"], "left").withColumn("stop", F.sum("size").over(run)).withColumn("start", F.col("stop") - F.col("size"))
     block = lambda word: F.expr(f"(({word}) * blocks - 1) div words")
     parts = F.expr(
         """filter(transform(sequence(k0, k1), k -> named_struct(

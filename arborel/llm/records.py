@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import MAX_ID, id_text, in_arrow, prepare, saved, scratch, table, width
 from .crc32c import frames, unframe
 
-#: Distinct words whose ids a worker remembers, from one task to the next.
-KNOWN_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker remembers, from one task to the next.
+KNOWN_BYTES = 128 << 20
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 512 << 20
 #: Bytes of text that are encoded and framed at once.
 CHUNK = 4 << 20
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
@@ -42,24 +44,30 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() < 1 << 16 else "I"
         self.kind = f"<u{array(self.code).itemsize}"
         self.known: dict[bytes, bytes] = {}
+        self.bytes = 0
 
     def _learn(self, words: list[bytes]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[word] = array(self.code, e.ids).tobytes()
+            self._remember(word, array(self.code, e.ids).tobytes())
+
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.bytes += len(word) + len(ids) + 150  # with what the objects and the entry take
 
     def texts(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text, and end, as bytes of kind."""
         # Upper case is lost anyway; where a special token may stand, case matters.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > KNOWN_WORDS:
+        if self.bytes > KNOWN_BYTES:
             self.known.clear()
+            self.bytes = 0
         known = self.known
         new = set().union(*words) - known.keys()
         # A full stop or comma after a letter a-z is a token by itself.
         marked = [w for w in new if w[-1:] in (b".", b",") and 97 <= (w[-2:-1] or b" ")[0] <= 122 and b"<|" not in w]
         self._learn([*(({w[:-1] for w in marked} | {b".", b","}) - known.keys() - new), *new.difference(marked)])
         for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+            self._remember(w, known[w[:-1]] + known[w[-1:]])
         get = known.__getitem__
         return [b"".join([*map(get, own), end]) for own in words]
 
@@ -126,12 +134,16 @@ def write_token_records(docs: DataFrame, vocabulary: str, folder: str, end_id: i
     Order: doc_id ascending, null last; rows that share a doc_id by a hash of the text. Null texts are empty: their record
     holds end_id alone. Repeated rows are written as often as they stand. Other columns of docs are ignored. Returns
     (shard, tokens, id_bytes, start) for each shard that has rows; start counts the ids of all shards before it. The number of
-    shards, not of documents, bounds what the driver gets. No rows: no files, no rows. vocabulary: a tokenizers
+    shards (one for SHARD_BYTES of text, and no fewer than shuffle partitions), not of documents, bounds what the driver gets. No rows: no files, no rows. vocabulary: a tokenizers
     file on every executor whose tokens never span white space.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = id_text(docs).repartitionByRange(shards or width(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = id_text(docs)
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(width(spark), -(-size // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("text"))
     done = saved(in_arrow(rows, _write(folder, vocabulary, end_id), "shard int, tokens long, id_bytes int")).orderBy("shard").collect()
     start, out = 0, []
     for shard, tokens, id_bytes in done:
@@ -201,6 +213,7 @@ def read_token_records(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def token_records(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Writes docs (doc_id, text) as token records to a new folder in the shared one, and returns the rows of read_token_records()."""
     if vocabulary is None:
         import public_tokenizers
 
@@ -210,8 +223,10 @@ def token_records(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """One row per document, read back from its record: doc_id, start, n_tokens, ids_crc32, shard, offset."""
     return token_records(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage of the pipeline: all docs as token records, a row for each."""
     return token_records(docs)

@@ -1,10 +1,14 @@
 """URL rules as a sort-merge range join.
 
-A rule is a host, which covers its subdomains, and the start of a path. Each url's host is taken with all the hosts above it, and
-only those that some rule names go on. For one such host, a rule's path covers the interval of paths that begin
-with it. Rules and urls of a host are sorted together by path; each rule carries the stack of the rules that enclose it,
-so the last rule before a url has on its stack all the rules that can be active there, and the deepest of them whose interval holds the
-url fits. A host with very many urls is dealt out, each part with all of that host's rules.
+A host's canonical key is its labels in reverse, each ended by a full stop, so that a rule's host and its subdomains are one interval of keys: those
+that begin with the rule's key. Two sorted sweeps find what fits:
+
+1. Over hosts: the ends of the rules' intervals and the hosts of the urls stand in one order. Where an interval begins, its rule is pushed on the stack of
+   the rules that are open there; where it ends, it is popped. So the stack that a host meets holds the hosts, nested in each other, whose rules may fit.
+2. Over paths, for each of these rule hosts: a rule's path covers the interval of paths that begin with it. Each rule carries the stack of the rules that
+   enclose it, so the last rule before a url has on its stack all that can be active there, and the deepest of them whose interval holds the url fits.
+
+A sweep over very many urls is dealt out, each part with all the rules of its sweep, and never in more parts than keep the rules' copies fewer than the urls.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Urls of one host that are swept together, about.
+#: Urls that are swept together, about.
 SWEEP = 200_000
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Verdict on urls that no rule fits.
@@ -31,14 +35,47 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, ascii_, ascii_.lower()), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and all hosts above it, as canonical keys: labels reversed, so that a host's key begins with those above it."""
-    labels = F.reverse(F.split(host, r"\."))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
+def canonical(host: Column) -> Column:
+    """The host's labels in reverse, each ended by a full stop."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def canonical(host: Column) -> Column:
-    return F.array_join(F.reverse(F.split(host, r"\.")), ".")
+def above(key: Column) -> Column:
+    """The canonical keys of a host and of all hosts above it, from the top."""
+    labels = F.split(F.substring(key, 1, F.length(key) - 1), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
+
+
+def _host(key: Column) -> Column:
+    return F.array_join(F.reverse(F.split(F.substring(key, 1, F.length(key) - 1), r"\.")), ".")
+
+
+def _swept(events: DataFrame, opens: DataFrame, *group: str) -> DataFrame:
+    """events (group, at, host, path) with `active`: what the last of opens (group, at, stack) before or at the same place of its group holds; events without any fall out.
+
+    Each group's events are dealt to parts of SWEEP rows, or of as many as the group has opens, if these are more.
+    """
+    size = opens.groupBy(*group).agg(F.count("*").alias("n"))
+    parts = F.ceil(F.count("*") / F.greatest(F.lit(SWEEP), F.max("n"))).cast("int")
+    parts = events.join(size, list(group)).groupBy(*group).agg(parts.alias("parts"))
+    dealt = events.join(parts, list(group)).withColumn("part", F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int"))
+    every = opens.join(parts, list(group)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = dealt.select(*group, "part", "at", "host", "path", F.lit(True).alias("is_event")).unionByName(every.select(*group, "part", "at", "stack", F.lit(False).alias("is_event")), allowMissingColumns=True)
+    sweep = Window.partitionBy(*group, "part").orderBy("at", "is_event").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("is_event and active is not null").select(*group, "host", "path", "active")
+
+
+def _open_hosts(hosts: DataFrame, known: DataFrame) -> DataFrame:
+    """Of distinct hosts (host, at, its canonical key): a row (host, key) for each rule host that covers it, by a sweep over hosts."""
+    own = known.select("key").distinct()
+    nested = own.select("key", F.explode(above(F.col("key"))).alias("outer")).join(own.withColumnRenamed("key", "outer"), "outer").groupBy("key").agg(F.array_sort(F.collect_list("outer")).alias("stack"))
+    top = lambda key: F.substring_index(key, ".", 1)
+    push = nested.select(top("key").alias("top"), F.col("key").alias("at"), "stack")
+    # What begins with the key is less than the key with the full stop at its end raised by one.
+    end = F.concat(F.substring("key", F.lit(1), F.length("key") - 1), F.lit("/"))
+    pop = nested.select(top("key").alias("top"), end.alias("at"), F.filter("stack", lambda k: k != F.col("key")).alias("stack"))
+    events = hosts.select(top("at").alias("top"), "at", "host", F.lit("").alias("path"))
+    return _swept(events, push.unionByName(pop), "top").select("host", F.explode("active").alias("key"))
 
 
 def stacked(rules: DataFrame) -> DataFrame:
@@ -64,23 +101,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     known = rules.where("host is not null and path is not null and verdict is not null").groupBy(canonical(F.col("host")).alias("key"), "path").agg(F.min("verdict").alias("verdict"))
     stacks = stacked(known)
 
-    # Distinct urls, under each of their hosts that has rules.
     distinct = urls.where("host <> ''").select("host", "path").distinct()
-    levels = distinct.select("host", "path", F.explode(suffixes(F.col("host"))).alias("key")).join(known.select("key").distinct(), "key")
-    parts = levels.groupBy("key").agg(F.ceil(F.count("*") / SWEEP).cast("int").alias("parts"))
-    events = levels.join(parts, "key").select("key", F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int").alias("part"), "path", "host", F.lit(None).cast("array<struct<size:int,start:string,verdict:string>>").alias("stack"))
-    opens = stacks.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "path", F.lit(None).cast("string").alias("host"), "stack")
-    sweep = Window.partitionBy("key", "part").orderBy("path", F.col("host").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.unionByName(opens).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("host is not null and active is not null")
+    hosts = distinct.select("host").distinct().withColumn("at", canonical(F.col("host")))
+    levels = distinct.join(_open_hosts(hosts, known), "host").withColumn("at", F.col("path"))
+    swept = _swept(levels, stacks.withColumnRenamed("path", "at"), "key")
     fitting = F.filter("active", lambda r: F.substring(F.col("path"), F.lit(1), r["size"]) == r["start"])
     deepest = swept.select("host", "path", "key", F.element_at(F.when(F.size(fitting) > 0, fitting), -1).alias("r")).where("r is not null")
-    own = F.struct((F.length("key") + F.col("r.size")).alias("size"), F.length("key").alias("host_size"), canonical(F.col("key")).alias("rule_host"), F.col("r.start").alias("start"), F.col("r.verdict").alias("verdict"))
+    own = F.struct((F.length("key") + F.col("r.size")).alias("size"), F.length("key").alias("host_size"), _host(F.col("key")).alias("rule_host"), F.col("r.start").alias("start"), F.col("r.verdict").alias("verdict"))
     best = deepest.groupBy("host", "path").agg(F.max(own).alias("best"))
     out = urls.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.concat("best.rule_host", "best.start").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict by RULES."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 

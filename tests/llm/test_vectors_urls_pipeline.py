@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arborel.llm import registry, topk, urls
@@ -41,6 +42,32 @@ def test_tree_skips_leaves():
     assert read < 20 * 20000 / topk.LEAF_ROWS / 2
 
 
+def test_kth_scores_go_from_tree_to_tree():
+    rng = np.random.default_rng(2)
+    points = np.floor(rng.normal(size=(8000, 3)) * 1000)
+    trees = [topk.Tree(np.arange(i, 8000, 4), points[i::4]) for i in range(4)]
+    ids, queries, none = np.arange(20), points[:20], np.full(20, -np.inf)
+    carried, best = 0, [[] for _ in ids]
+    for tree in trees:
+        carried += tree.search(ids, queries, 5, best, none)
+    apart = sum(tree.search(ids, queries, 5, [[] for _ in ids], none) for tree in trees)
+    assert carried < 0.9 * apart
+    assert sorted(-e[1] for e in best[0]) == sorted(np.argsort(np.where(np.arange(8000) == 0, -np.inf, points @ points[0]))[-5:].tolist())
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_rounds_of_trees_give_the_same(spark, monkeypatch, share):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk, "TASK_TREES", 2)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 500)
+    monkeypatch.setattr(topk, "FIRST_SHARE", share if share else 0.3)
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in vectors]
+    want = [(i, r + 1, j, -s) for i, q in good if i % 50 == 0 for r, (s, j) in enumerate(sorted((-int(v @ q), j) for j, v in good if j != i)[:5])]
+    assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()) == sorted(want)
+
+
 URLS = [
     "http://a.example.net/en/1", "http://example.net/de/", "https://EXAMPLE.com/de/x?y=/en/", "http://x.org/fr/", "http://x.org/fr", "http://org/fr/1#a", "http://notorg/fr/1",
     "net/en/", None, "", "://", "http://", "http:///x", "http://net", "http://net/", "http://a.net?x/", "http://user@b.net:80/q", "http://Ünet.NET/é", "http://xexample.net/en/", "http://..net/",
@@ -126,6 +153,16 @@ def test_pipeline_stages(spark, small):
     assert len(last) == len(kept["source_mix"]) and corpus_pipeline.run(spark, small).count() == len(last)
 
 
+def test_stages_keep_columns_that_have_their_own_names(spark, small):
+    names = ["_id", "_th", "_n", "_parts", "_toxicity", "_leaks", "_ID_", "pii", "leaks", "score", "key"]
+    docs = corpus_pipeline.table(spark, small, "documents").limit(120)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names if n != "_ID_"}).withColumn("_TH_", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names if n != "_ID_"), name
+
+
 def test_stages_leave_clashing_columns_alone(spark, small, tmp_path):
     data = cases.rows(3)
     wide = cases.frame(spark, data).selectExpr("*", "1.5D as score", "7 as predicted", "true as held_out", "'w' as size", "'t' as taken", "'r' as rank", "'a' as a", "'b' as b")
