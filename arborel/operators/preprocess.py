@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NOISE
-from .spatial import cell, knn_join
+from .spatial import cell, crowded_size, knn_join
 
 XYZ = ("xi", "yi", "zi")
 
@@ -23,7 +23,7 @@ class Voxel:
 
 @dataclass(frozen=True)
 class Outliers:
-    """Points whose mean distance to their k nearest (itself included) is below mean + ratio * deviation stay."""
+    """Points whose mean distance to their k nearest (itself included) is below mean + ratio * deviation stay. cell: where the choice of the search's cells begins."""
 
     k: int = 10
     ratio: float = 2.0
@@ -88,7 +88,8 @@ def voxel_downsample(points: DataFrame, voxel: Voxel = Voxel()) -> DataFrame:
 def mean_neighbour_distance(points: DataFrame, outliers: Outliers) -> DataFrame:
     """point_id and m: the mean distance (centimetres) to the k nearest points, itself included."""
     side = lambda p: points.select(F.col("point_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}{c[0]}") for c in XYZ])
-    near = knn_join(side("a"), side("b"), outliers.k, outliers.cell, "a_id", "b_id", "xyz")
+    size = crowded_size(points, outliers.k, outliers.cell, XYZ)
+    near = knn_join(side("a"), side("b"), outliers.k, size, "a_id", "b_id", "xyz")
     return near.groupBy(F.col("a_id").alias("point_id")).agg((F.sum(F.sqrt(F.col("d2").cast("double"))) / F.count("*")).alias("m"))
 
 
@@ -111,8 +112,20 @@ def isolated_voxel_noise(points: DataFrame, noise: IsolatedVoxels = IsolatedVoxe
 
 
 def bottom_fraction(points: DataFrame, fraction: float = 0.3) -> DataFrame:
-    """The lowest int(n * fraction) points by z, ties by point_id, without sorting them in one task: a limit of the sort keeps only heaps."""
-    return points.orderBy("zi", "point_id").limit(int(points.count() * fraction))
+    """The lowest int(n * fraction) points by z, ties by point_id; no sort of the cloud. Heights are whole, so counts by height (one partial aggregate) tell the height
+    where the limit falls; only the points of that height are ordered, to take the rest."""
+    want = int(points.count() * fraction)
+    total, cut = 0, None
+    # A row for each centimetre of height at most, from the lowest up to the one that is wanted.
+    for z, n in points.groupBy("zi").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_first("zi")).toLocalIterator():
+        if total + n >= want:
+            cut = z
+            break
+        total += n
+    at = points.where(F.col("zi").eqNullSafe(F.lit(cut).cast("long"))).orderBy("point_id").limit(want - total)
+    if cut is None:  # the heights that are null come first
+        return at
+    return points.where(F.col("zi").isNull() | (F.col("zi") < cut)).unionByName(at)
 
 
 def top_slab(points: DataFrame, height: int = 400) -> DataFrame:

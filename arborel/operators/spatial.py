@@ -6,6 +6,7 @@ not. Cells that hold very many rows are split by AQE's skew join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -67,6 +68,14 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, size: int, left_id: str,
     return reduce(DataFrame.unionByName, found)
 
 
+def crowded_size(points: DataFrame, k: int, size: int, columns: tuple[str, ...]) -> int:
+    """The size of cells in which the k-th neighbour of most points lies within a cell's size, from the crowd that points meet in cells of a given size: one partial aggregate."""
+    cells = points.groupBy(*[cell(c, size).alias(f"c{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("n"))
+    crowd = cells.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd")).first()["crowd"]
+    ball = {2: math.pi, 3: 4 / 3 * math.pi}[len(columns)]
+    return max(1, round(size * (1.5 * k / ball / crowd) ** (1 / len(columns)))) if crowd else size
+
+
 def nearest(left: DataFrame, right: DataFrame, size: int, left_id: str, right_id: str, axes: str = "xy") -> DataFrame:
     return knn_join(left, right, 1, size, left_id, right_id, axes).drop("rank")
 
