@@ -250,8 +250,9 @@ def _heads(percent: int):
     return work
 
 
-def _cross(percent: int):
-    """Of sorted rows: the pairs of a list's outsiders (role 0) and members (role 1) that are in different groups and can match."""
+def _cross(percent: int, best: bool):
+    """Of sorted rows: the pairs of a list's outsiders (role 0) and members (role 1) that are in different groups and can match. best: of each outsider and group the
+    likeliest pair alone."""
     names = ("name", "x", "y", "role", "root", "key", "n", "pos", "outside")
 
     def pairs(rows: list[dict[str, np.ndarray]]):
@@ -269,7 +270,11 @@ def _cross(percent: int):
                 if len(j):
                     total = own["n"][j].astype(np.int64) + n
                     apart = np.bitwise_count(own["map"][j] ^ own["map"][i]).sum(axis=1, dtype=np.int64)
-                    j = j[apart <= total - 2 * -(-percent * total // (100 + percent))]
+                    can = apart <= total - 2 * -(-percent * total // (100 + percent))
+                    j, far = j[can], (apart / total)[can]
+                    if best:
+                        order = np.lexsort((far, own["root"][j]))
+                        j = j[order[segments(own["root"][j][order])[:-1]]]
                 out_a.append(np.full(len(j), own["key"][i]))
                 out_b.append(own["key"][j])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -365,6 +370,22 @@ def derived(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left")
 
 
+def _apart(lists: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the lists that hold several groups: the members outside a list's largest group (role 0) beside all its members (role 1), in blocks, sorted."""
+    placed = lists.join(groups, F.col("key") == F.col("node"), "left").select("name", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    size = placed.groupBy("name", "root").agg(F.count("*").alias("size"))
+    open_lists = size.groupBy("name").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main")).where("size > main.size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_lists = open_lists.select("name", F.col("main.root").alias("main"), blocks(F.col("size") - F.col("main.size")).alias("xs"), blocks(F.col("size")).alias("ys"))
+    dealt = placed.join(open_lists, "name").join(texts.select("key", "map"), "key").withColumn("outside", F.col("root") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["name", "x", "y", "role", "root", "key", "n", "pos", "outside", "map"]
+    outsiders = dealt.where("outside").withColumns({"x": own("xs"), "role": F.lit(0)}).withColumn("y", each("ys")).select(columns)
+    everyone = dealt.withColumns({"y": own("ys"), "role": F.lit(1)}).withColumn("x", each("xs")).select(columns)
+    return outsiders.unionByName(everyone).repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "role", "n", "key")
+
+
 _real = lambda c: F.when(F.col(c) != MAX_ID, F.col(c))
 
 
@@ -405,25 +426,15 @@ def _groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     met = saved(_met(pairs, texts, k))
     is_link = _is_link(F.col("both"), F.col("na"), F.col("nb"), percent)
     groups = saved(components(met.where(is_link).select("a", "b")))
-    placed = lists.join(groups, F.col("key") == F.col("node"), "left").select("name", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    # Of a list that still has several groups, the members outside its largest group meet all the others, in blocks.
-    size = placed.groupBy("name", "root").agg(F.count("*").alias("size"))
-    open_lists = size.groupBy("name").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main")).where("size > main.size")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_lists = open_lists.select("name", F.col("main.root").alias("main"), blocks(F.col("size") - F.col("main.size")).alias("xs"), blocks(F.col("size")).alias("ys"))
-    dealt = placed.join(open_lists, "name").join(texts.select("key", "map"), "key").withColumn("outside", F.col("root") != F.col("main"))
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["name", "x", "y", "role", "root", "key", "n", "pos", "outside", "map"]
-    outsiders = dealt.where("outside").withColumns({"x": own("xs"), "role": F.lit(0)}).withColumn("y", each("ys")).select(columns)
-    everyone = dealt.withColumns({"y": own("ys"), "role": F.lit(1)}).withColumn("x", each("xs")).select(columns)
-    sorted_lists = outsiders.unionByName(everyone).repartition("name", "x", "y").sortWithinPartitions("name", "x", "y", "role", "n", "key")
-    cross = in_arrow(sorted_lists, _cross(percent), "a long, b long").distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = saved(derived(saved(cross.join(done, ["a", "b"], "left_anti")), met, percent))
-    rest = _met(cross.where("link is null").select("a", "b"), texts, k).where(is_link)
-    more = saved(cross.where("link").select("a", "b").unionByName(rest.select("a", "b")))
-    groups = saved(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    # First the likeliest pair of each outsider and group, which mostly joins them; then all pairs of those that are still apart.
+    for best in (True, False):
+        cross = saved(in_arrow(_apart(lists, groups, texts), _cross(percent, best), "a long, b long").distinct().join(done, ["a", "b"], "left_anti"))
+        answers = saved(derived(cross, met, percent))
+        rest = _met(answers.where("link is null").select("a", "b"), texts, k).where(is_link)
+        more = saved(answers.where("link").select("a", "b").unionByName(rest.select("a", "b")))
+        groups = saved(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        done = done.unionByName(cross)
 
     least = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     placed = least.join(groups, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
