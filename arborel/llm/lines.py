@@ -133,25 +133,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     Put word on word, the texts' words that differ bound the edit distance from above: if that is enough, nothing more is computed. Of the other pairs, what both
     texts begin and end with alike doesn't change their distance, which is at most the length of the longer rest: only if that isn't enough, the distance
-    of the rests is computed. Steps are saved, as a filter on them would else compute them again and again.
+    of the rests is computed. All this is one condition on the joined texts: its steps pass their values on through arrays of one element, as each step of a
+    chain of columns would be computed anew wherever a later one names it, and writing the steps down would take the texts' room several times over.
     """
     with_a = pairs.join(texts.select(F.col("name").alias("a"), F.col("normal").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("name").alias("b"), F.col("normal").alias("tb")), "b")
-    both = both.withColumn("most", F.expr(f"cast(floor((1 - {similarity}D) * greatest(length(ta), length(tb)) + 1e-9D) as int)"))
-    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
+    most = f"cast(floor((1 - {similarity}D) * greatest(length(ta), length(tb)) + 1e-9D) as int)"
     # A word beyond the other text's end goes with the space before it.
     apart = "aggregate(zip_with(split(ta, ' '), split(tb, ' '), (x, y) -> if(x <=> y, 0, greatest(length(x), length(y)) + if(x is null or y is null, 1, 0))), 0, (n, d) -> n + d)"
-    both = both.withColumn("sure", F.expr(f"{apart} <= most"))
-    unless = lambda c: F.when(~F.col("sure"), F.col(c)).alias(c)
-    known = saved(both.select("a", "b", "most", "sure", unless("ta"), unless("tb")))
-    both = known.where("not sure")
+    rests = f"array(struct(ta, tb, {most} as most))"
     for _ in range(2):  # from the start, then from the end
-        alike = F.zip_with(F.split("ta", ""), F.split("tb", ""), lambda x, y: x.eqNullSafe(y))
-        found = both.withColumn("first", F.array_position(alike, False).cast("int"))
-        rest = lambda c: F.reverse(F.when(F.col("first") > 0, F.substring(c, F.col("first"), F.length(c))).otherwise("")).alias(c)
-        both = saved(found.select("a", "b", "most", rest("ta"), rest("tb")))
-    near = both.where("greatest(length(ta), length(tb)) <= most or levenshtein(ta, tb, most) >= 0")
-    return known.where("sure").select("a", "b").unionByName(near.select("a", "b"))
+        first = "cast(array_position(zip_with(split(p.ta, ''), split(p.tb, ''), (x, y) -> x <=> y), false) as int)"
+        rests = f"transform({rests}, p -> struct(p.ta as ta, p.tb as tb, p.most as most, {first} as first))"
+        rest = lambda c: f"reverse(if(p.first > 0, substring(p.{c}, p.first, length(p.{c})), '')) as {c}"
+        rests = f"transform({rests}, p -> struct({rest('ta')}, {rest('tb')}, p.most as most))"
+    near = f"exists({rests}, p -> greatest(length(p.ta), length(p.tb)) <= p.most or levenshtein(p.ta, p.tb, p.most) >= 0)"
+    return both.where(f"abs(length(ta) - length(tb)) <= {most} and ({apart} <= {most} or {near})").select("a", "b")
 
 
 def _compared(pairs: DataFrame, lines: DataFrame, max_distance: int, similarity: float) -> DataFrame:
