@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import smallest_labels
-from .spatial import range_join
+from .preprocess import renumber
+from .spatial import range_join, tiles_with_halo
 
 
 @dataclass(frozen=True)
@@ -47,20 +48,69 @@ def core_points(points: DataFrame, density: Density = Density()) -> DataFrame:
 
 def density_clusters(points: DataFrame, density: Density = Density(), first: int = 0) -> DataFrame:
     """point_id and cluster of every clustered point; noise has no row. Clusters count from first in the order of their smallest core point;
-    a border point goes to the smallest of those that reach it. Labels spread over the whole cloud, whatever its tiles."""
-    near = _neighbours(points, density).cache()
-    core = core_points_of(near, density).cache()
-    links = near.join(core.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(core.withColumnRenamed("id", "b_id"), "b_id", "left_semi").where("a_id <> b_id")
-    labels = smallest_labels(core, links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    reached = near.join(labels.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("point_id")).agg(F.min("label").alias("label"))
-    own = labels.withColumnRenamed("id", "point_id").withColumnRenamed("label", "own")
-    reached = reached.join(own, "point_id", "left").select("point_id", F.coalesce("own", "label").alias("label"))
-    ids = labels.select("label").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("label")) - 1 + first).cast("long"))
-    return reached.join(F.broadcast(ids), "label").select("point_id", "cluster")
+    a border point goes to the smallest of those that reach it. Labels spread over the whole cloud, whatever its tiles.
 
+    Tiles of 64 eps find their own clusters with a halo of 2 eps, in which the core points within eps of a tile are all known as such; a cluster is named by its smallest core point in the
+    tile. A core point that two tiles name differently links the names, so the rounds over the whole cloud see names of clusters that cross edges, not points.
+    """
+    tiled = tiles_with_halo(points.select("point_id", "xi", "yi"), 64 * density.eps, 2 * density.eps)
 
-def core_points_of(near: DataFrame, density: Density) -> DataFrame:
-    return near.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= density.min_points).select("id")
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("point_id", ignore_index=True)
+        at, near, core = _reached(tile[["xi", "yi"]].to_numpy().astype(np.int64), density)
+        ids, name = tile["point_id"].to_numpy(), np.arange(len(tile))
+        linked = core[at] & core[near]
+        a, b = at[linked], near[linked]
+        while True:
+            new = name.copy()
+            np.minimum.at(new, a, name[b])
+            np.minimum.at(new, name[a], name[b])
+            new = new[new]
+            if (new == name).all():
+                break
+            name = new
+        # A core point has its own name alone, a border point those of all clusters that reach it.
+        shown = core[near] & (~core[at] | (at == near))
+        out = pd.DataFrame({"point_id": ids[at[shown]], "name": ids[name[near[shown]]], "is_core": core[at[shown]], "is_buffer": tile["is_buffer"].to_numpy()[at[shown]]})
+        return out.drop_duplicates()
+
+    local = tiled.groupBy("tile_x", "tile_y").applyInPandas(run, "point_id long, name long, is_core boolean, is_buffer boolean").cache()
+    spread = local.where("is_core").groupBy("point_id").agg(F.min("name").alias("a"), F.max("name").alias("b"), F.collect_set("name").alias("names")).where("a <> b")
+    links = spread.select("a", F.explode("names").alias("b")).where("a <> b").distinct()
+    named = local.where("not is_buffer")
+    if links.isEmpty():
+        reached = named.groupBy("point_id").agg(F.min("name").alias("label"))
+    else:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
+        merged = smallest_labels(both.select(F.col("a").alias("id")).distinct(), both).select(F.col("id").alias("name"), "label")
+        reached = named.join(merged, "name", "left").groupBy("point_id").agg(F.min(F.coalesce("label", "name")).alias("label"))
+    ids = renumber(reached.select("label").distinct(), "label", name="cluster", first=first)
+    return reached.join(ids, "label").select("point_id", F.col("cluster").cast("long"))
+
+
+def _reached(xy: np.ndarray, density: Density) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (at, near) of places in xy at most eps apart, each with itself too, and which places are core points."""
+    cells = np.floor_divide(xy, density.eps)
+    cells -= cells.min(axis=0) - 1 if len(xy) else 0
+    width = int(cells[:, 1].max()) + 2 if len(xy) else 1
+    key = cells[:, 0] * width + cells[:, 1]
+    order = np.argsort(key, kind="stable")
+    ordered, pairs = key[order], []
+    for shift in (-width, 0, width):
+        low, high = np.searchsorted(ordered, key + shift - 1, "left"), np.searchsorted(ordered, key + shift + 1, "right")
+        many, start = high - low, 0
+        ends = many.cumsum()
+        # Slices of some four million candidates.
+        while start < len(xy):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 4_000_000, "right")))
+            n = many[start:stop]
+            a = np.repeat(np.arange(start, stop), n)
+            b = order[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low[start:stop], n)]
+            close = ((xy[a] - xy[b]) ** 2).sum(axis=1) <= density.eps**2
+            pairs.append((a[close], b[close]))
+            start = stop
+    at, near = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, int) for i in (0, 1))
+    return at, near, np.bincount(at, minlength=len(xy)) >= density.min_points
 
 
 def assign_centroids(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -158,21 +208,28 @@ def merge_clusters(current: list[np.ndarray], everything: list[np.ndarray], poin
     return out + [everything[k] for k in free]
 
 
-def layered_array(points: np.ndarray, layers: Layers = Layers()) -> np.ndarray:
+def layered_array(points: np.ndarray, layers: Layers = Layers(), index: np.ndarray | None = None, root: np.ndarray | None = None) -> np.ndarray:
     """Tree numbers from 1 (0: none) of points in centimetres: density clusters in the top layer (the highest that has any), then in each lower layer centroid clusters seeded with the
     layer above's own centroids and merged into the trees. Layers that are empty or smaller than `least` are skipped and leave the seeds unchanged; layers
-    of fewer points than seeds are skipped too."""
+    of fewer points than seeds are skipped too. index and root are the layer (-1: none) and the density cluster (0: none) of each point in a larger cloud that
+    points are a part of; trees have their cluster's number then."""
     out = np.zeros(len(points), int)
     if not len(points):
         return out
-    z = points[:, 2]
-    n = math.ceil((z.max() - z.min() - layers.allowance) / layers.height)
-    inside = z <= z.max() if layers.include_apex else z < z.max()
-    masks = [(z >= n * layers.height) & inside] + [(z >= i * layers.height) & (z < (i + 1) * layers.height) for i in range(n - 1, -1, -1)]
+    if index is not None:
+        masks = [index == i for i in range(index.max() + 1)]
+    else:
+        masks = _layer_masks(points[:, 2], layers)
     trees: list[np.ndarray] = []
     seeds = None
-    for mask in masks[: max(n - 1, 0)]:
+    for mask in masks:
         own = np.flatnonzero(mask)
+        if seeds is None and root is not None:
+            clusters = [own[root[own] == k] for k in np.unique(root[own]) if k > 0]
+            trees = clusters
+            if clusters:
+                seeds = np.stack([points[c].mean(axis=0) for c in clusters])
+            continue
         if len(own) < layers.least:
             continue
         if seeds is None:
@@ -191,16 +248,39 @@ def layered_array(points: np.ndarray, layers: Layers = Layers()) -> np.ndarray:
         if clusters:
             seeds = np.stack([points[c].mean(axis=0) for c in clusters])
     for k, tree in enumerate(trees):
-        out[tree] = k + 1
+        out[tree] = k + 1 if root is None else root[tree].max()
     return out
 
 
+def _layer_masks(z: np.ndarray, layers: Layers) -> list[np.ndarray]:
+    """The points of each layer from the top on, without the two lowest layers."""
+    n = math.ceil((z.max() - z.min() - layers.allowance) / layers.height)
+    inside = z <= z.max() if layers.include_apex else z < z.max()
+    masks = [(z >= n * layers.height) & inside] + [(z >= i * layers.height) & (z < (i + 1) * layers.height) for i in range(n - 1, -1, -1)]
+    return masks[: max(n - 1, 0)]
+
+
+def layer_roots(banded: DataFrame, layers: Layers = Layers()) -> DataFrame:
+    """point_id and root (from 1): the density clusters of the highest layer of height_layers() that has any, over the whole cloud, whatever its tiles. The
+    driver tries the layers in turn; there are at most as many as the cloud's height has layers."""
+    banded = banded.where("is_clustered")
+    for (index,) in banded.groupBy("layer_idx").agg(F.count("*").alias("n")).where(F.col("n") >= layers.least).orderBy("layer_idx").select("layer_idx").collect():
+        found = density_clusters(banded.where(F.col("layer_idx") == index), layers.density).cache()
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= layers.least).select("cluster")
+        ids = renumber(sizes, "cluster", name="root")
+        if not ids.isEmpty():
+            return found.join(ids, "cluster").select("point_id", F.col("root").cast("long"))
+    return banded.select("point_id", F.lit(0).cast("long").alias("root")).limit(0)
+
+
 def layered_clusters(tiled: DataFrame, layers: Layers = Layers()) -> DataFrame:
-    """tiled (tile_x, tile_y, point_id, xi, yi, zi): tile_x, tile_y, point_id and treeID of the clustered points. A tile is one task; tiles bound what it holds."""
+    """tiled (tile_x, tile_y, is_buffer, point_id, xi, yi, zi, layer_idx, root): point_id and treeID (its root's number) of the clustered points. A tile with its halo is one task;
+    a tree that crosses an edge has one number on both sides. Points of a tile in whose halo no root lies get no tree."""
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("point_id", ignore_index=True)
-        tree = layered_array(tile[["xi", "yi", "zi"]].to_numpy(), layers)
-        return tile[["tile_x", "tile_y", "point_id"]].assign(treeID=tree)[tree > 0]
+        tree = layered_array(tile[["xi", "yi", "zi"]].to_numpy(), layers, tile["layer_idx"].to_numpy(), tile["root"].to_numpy())
+        return tile[["point_id"]].assign(treeID=tree)[(tree > 0) & ~tile["is_buffer"].to_numpy()]
 
-    return tiled.select("tile_x", "tile_y", "point_id", "xi", "yi", "zi").groupBy("tile_x", "tile_y").applyInPandas(run, "tile_x long, tile_y long, point_id long, treeID long")
+    columns = ["tile_x", "tile_y", "is_buffer", "point_id", "xi", "yi", "zi", "layer_idx", "root"]
+    return tiled.select(*columns).groupBy("tile_x", "tile_y").applyInPandas(run, "point_id long, treeID long")

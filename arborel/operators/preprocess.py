@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NOISE
-from .spatial import cell, crowded_size, knn_join
+from .graph import cut_lineage
+from .spatial import block_distances, cell, crowded_size
 
 XYZ = ("xi", "yi", "zi")
 
@@ -87,10 +88,8 @@ def voxel_downsample(points: DataFrame, voxel: Voxel = Voxel()) -> DataFrame:
 
 def mean_neighbour_distance(points: DataFrame, outliers: Outliers) -> DataFrame:
     """point_id and m: the mean distance (centimetres) to the k nearest points, itself included."""
-    side = lambda p: points.select(F.col("point_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}{c[0]}") for c in XYZ])
-    size = crowded_size(points, outliers.k, outliers.cell, XYZ)
-    near = knn_join(side("a"), side("b"), outliers.k, size, "a_id", "b_id", "xyz")
-    return near.groupBy(F.col("a_id").alias("point_id")).agg((F.sum(F.sqrt(F.col("d2").cast("double"))) / F.count("*")).alias("m"))
+    size = crowded_size(points, 4 * outliers.k, outliers.cell, XYZ)
+    return block_distances(points, outliers.k, size, XYZ)
 
 
 def statistical_outliers(points: DataFrame, outliers: Outliers = Outliers()) -> DataFrame:
@@ -141,6 +140,15 @@ def minmax_normalize(points: DataFrame, columns: tuple[str, ...] = ("xi", "yi"))
     return points.crossJoin(F.broadcast(ends)).withColumns(scaled).drop(*ends.columns)
 
 
-def renumber(frame: DataFrame, *order: str, name: str = "treeID") -> DataFrame:
-    """name: 1..n in that order. A global order has one task; meant for features such as tree tops, not for points."""
-    return frame.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def renumber(frame: DataFrame, *order: str, name: str = "treeID", first: int = 1) -> DataFrame:
+    """name: numbers from first in that order (which must tell rows apart). Rows are dealt by ranges of the order and numbered within each; the driver sees one count for each
+    range. The ranges are written down, as a second sampling could draw them otherwise."""
+    part = "_" + max(frame.columns, key=len)
+    ranged = cut_lineage(frame.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before, total = {}, first - 1
+    for p, n in sorted(ranged.groupBy(part).count().collect()):
+        before[p], total = total, total + n
+    if not before:
+        return ranged.withColumn(name, F.lit(0).cast("long")).drop(part)
+    offset = F.create_map(*[F.lit(v).cast("long" if i % 2 else "int") for p in before.items() for i, v in enumerate(p)])[F.col(part)]
+    return ranged.withColumn(name, offset + F.row_number().over(Window.partitionBy(part).orderBy(*order))).drop(part)

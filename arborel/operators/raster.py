@@ -26,9 +26,9 @@ def canopy_raster(points: DataFrame, size: int, *keys: str) -> DataFrame:
 
 
 def densify(raster: DataFrame) -> DataFrame:
-    """Every cell of the raster's bounding box, z null where there was none. Rows are made where they are needed, from sequences."""
+    """Every cell of the raster's bounding box, z null where there was none. One task lists the rows, others make their cells."""
     box = raster.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("col", "row") for f in (F.min, F.max)])
-    rows = box.where("min_col is not null").select(F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col")
+    rows = box.where("min_col is not null").select(F.explode(F.sequence("min_row", "max_row")).alias("row"), "min_col", "max_col").repartition("row")
     grid = rows.select("row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
     return grid.join(raster, ["col", "row"], "left").select("col", "row", "z")
 

@@ -10,6 +10,8 @@ import math
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,56 @@ def crowded_size(points: DataFrame, k: int, size: int, columns: tuple[str, ...])
     return max(1, round(size * (1.5 * k / ball / crowd) ** (1 / len(columns)))) if crowd else size
 
 
+def block_distances(points: DataFrame, k: int, size: int, columns: tuple[str, ...]) -> DataFrame:
+    """point_id and m: each point's mean distance to its k nearest (itself included; all, if fewer). size: a radius that holds k points nearly everywhere.
+
+    Blocks of four times the size go to numpy with all that lies within size of them; a point whose k-th distance is larger searches once more with twice the
+    size, among the blocks that still hold such points. The few after that, which may lie far from everything, are left to knn_join(), so no block grows with the cloud.
+    """
+    own = points.select("point_id", *columns)
+    done, todo = [], own
+    for _ in range(2):
+        m = _in_blocks(own, todo, k, size, columns).cache()
+        done.append(m.where("m is not null"))
+        todo = m.where("m is null").select("point_id", *columns)
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, [d.select("point_id", "m") for d in done])
+        size *= 2
+    side = lambda frame, p: frame.select(F.col("point_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}{a}") for c, a in zip(columns, AXES, strict=False)])
+    near = knn_join(side(todo, "a"), side(own, "b"), k, size, "a_id", "b_id", "".join(AXES[: len(columns)]))
+    done.append(near.groupBy(F.col("a_id").alias("point_id")).agg((F.sum(F.sqrt(F.col("d2").cast("double"))) / F.count("*")).alias("m")))
+    return reduce(DataFrame.unionByName, [d.select("point_id", "m") for d in done])
+
+
+def _in_blocks(own: DataFrame, todo: DataFrame, k: int, size: int, columns: tuple[str, ...]) -> DataFrame:
+    """todo with m, null where the k-th distance is more than size."""
+    width, keys = 4 * size, [f"block_{c}" for c in columns]
+    asked = todo.withColumns({b: cell(c, width) for b, c in zip(keys, columns, strict=True)}).withColumn("asked", F.lit(True))
+    near = own
+    for b, c in zip(keys, columns, strict=True):
+        near = near.withColumn(b, F.explode(F.sequence(cell(F.col(c) - size, width), cell(F.col(c) + size, width))))
+    if todo is not own:
+        near = near.join(asked.select(*keys).distinct(), keys, "left_semi")
+    both = near.withColumn("asked", F.lit(False)).unionByName(asked)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        asks = block["asked"].to_numpy()
+        want, have = block[asks], block.loc[~asks, list(columns)].to_numpy().astype(np.int64)
+        places, mean = want[list(columns)].to_numpy().astype(np.int64), np.full(len(want), np.nan)
+        # Slices bound the distances in memory, whatever the block holds.
+        step, least = max(1, 1_000_000 // max(1, len(have))), min(k, len(have))
+        for at in range(0, len(want), step) if len(have) >= k else ():
+            d2 = sum((places[at : at + step, None, i] - have[None, :, i]) ** 2 for i in range(len(columns)))
+            best = np.partition(d2, least - 1, axis=1)[:, :least]
+            mean[at : at + step] = np.where(best.max(axis=1) <= size * size, np.sqrt(np.sort(best, axis=1).astype(float)).mean(axis=1), np.nan)
+        out = want[["point_id", *columns]].copy()
+        out["m"] = pd.Series(mean, index=out.index).astype(object).where(~np.isnan(mean), None)
+        return out
+
+    kinds = ", ".join(["point_id long", *[f"{c} long" for c in columns], "m double"])
+    return both.groupBy(*keys).applyInPandas(run, kinds)
+
+
 def nearest(left: DataFrame, right: DataFrame, size: int, left_id: str, right_id: str, axes: str = "xy") -> DataFrame:
     return knn_join(left, right, 1, size, left_id, right_id, axes).drop("rank")
 

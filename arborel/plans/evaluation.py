@@ -29,9 +29,11 @@ def match_tiles(tops: DataFrame, truth: DataFrame, match: int = evaluate.MATCH)
     """tops (tile, treeID, xi, yi) with the nearest of truth (tile, gt_id, gx, gy) of the same tile: gt_id, d2, is_match. One job for all tiles."""
     a = tops.select("tile", "treeID", F.col("xi").alias("ax"), F.col("yi").alias("ay"))
     b = truth.select("tile", "gt_id", F.col("gx").alias("bx"), F.col("gy").alias("by"))
-    # Pairs stay within a tile, so its reference positions bound a prediction's candidates; the minimum is a partial aggregate.
-    pairs = a.join(b, "tile").withColumn("d2", spatial.square_distance("a", "b", "xy"))
-    best = pairs.groupBy("tile", "treeID").agg(F.min(F.struct("d2", "gt_id")).alias("m"))
+    # A prediction is settled by the cells around it where those hold a position within a cell's size; only the rest meets all positions of the tile.
+    close = spatial.pairs_in_cells(a, b.withColumnRenamed("tile", "b_tile"), match, "xy").where((F.col("tile") == F.col("b_tile")) & (F.col("d2") <= match * match))
+    settled = close.groupBy("tile", "treeID").agg(F.min(F.struct("d2", "gt_id")).alias("m"))
+    far = a.join(settled, ["tile", "treeID"], "left_anti").join(b, "tile").withColumn("d2", spatial.square_distance("a", "b", "xy"))
+    best = settled.unionByName(far.groupBy("tile", "treeID").agg(F.min(F.struct("d2", "gt_id")).alias("m")))
     return best.select("tile", "treeID", "m.gt_id", "m.d2", (F.col("m.d2") <= match * match).alias("is_match"))
 
 

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import palette_index
+from ..operators.preprocess import renumber
 from ..schema import GROUND_TREE
 from .las import register
 
 
 def number_trees(clusters: DataFrame, ground: DataFrame) -> DataFrame:
     """Points x, y, z, treeID: trees of clusters (x, y, z, cluster_id) as 1..n in the order of cluster_id, points of ground (x, y, z) as 0."""
-    ids = clusters.select("cluster_id").distinct().withColumn("treeID", F.row_number().over(Window.orderBy("cluster_id")).cast("long"))
-    trees = clusters.join(F.broadcast(ids), "cluster_id").select("x", "y", "z", "treeID")
+    ids = renumber(clusters.select("cluster_id").distinct(), "cluster_id")
+    trees = clusters.join(ids, "cluster_id").select("x", "y", "z", "treeID")
     return trees.unionByName(ground.select("x", "y", "z", F.lit(GROUND_TREE).cast("long").alias("treeID")))
 
 
@@ -35,8 +36,8 @@ def coloured(points: DataFrame) -> DataFrame:
     """points with the place of their tree's colour in the palette; only ids, not points, are ranked. Without treeID there is nothing to colour: an error."""
     if "treeID" not in points.columns:
         raise ValueError("the cloud has no treeID")
-    ids = points.select("treeID").distinct().withColumn("colour", palette_index(F.dense_rank().over(Window.orderBy("treeID"))))
-    return points.join(F.broadcast(ids), "treeID", "left")
+    ids = renumber(points.select("treeID").distinct(), "treeID", name="colour").withColumn("colour", palette_index(F.col("colour")))
+    return points.join(ids, "treeID", "left")
 
 
 def random_colour(key: Column, seed: int = 1) -> Column:
