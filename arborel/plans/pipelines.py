@@ -1,7 +1,7 @@
 """The four segmentation plans, over points in whole centimetres (point_id, xi, yi, zi; classification and withheld where named).
 
 Each returns point_id and treeID of the points that got a tree (0 is ground where a plan tells ground apart). Parameters are those of the
-frozen dataclasses of the operators. Tiles bound what one task holds; density clusters are found over the whole cloud.
+frozen dataclasses of the operators. Tiles bound what one task holds. The density clusters of hybrid() are the whole cloud's, those of layered() its tiles'.
 """
 
 from __future__ import annotations
@@ -22,17 +22,17 @@ class Tiling:
 
 
 def layered(points: DataFrame, voxel: preprocess.Voxel = preprocess.Voxel(), outliers: preprocess.Outliers = preprocess.Outliers(), height: int = 100, layers: cluster.Layers = cluster.Layers(), tiling: Tiling = Tiling()) -> DataFrame:
-    """Shift, voxel means, outliers, ground by threshold, then layered clusters: x, y, z (centimetres from the origin) and treeID, ground 0. The
-    layers' bands and the density clusters that trees start from are the whole cloud's; the lower layers are clustered by tile with a halo."""
+    """Shift, voxel means, outliers, ground by threshold, then layered clusters by tile: x, y, z (centimetres from the origin) and treeID, ground 0. Trees
+    are numbered over all tiles."""
     shifted = preprocess.offset_to_origin(points.select("point_id", "xi", "yi", "zi"))
     means = preprocess.voxel_downsample(shifted, voxel)
     key = F.xxhash64("vx", "vy", "vz")
     cells = means.select(key.alias("point_id"), *[F.round(c).cast("long").alias(f"{c}i") for c in "xyz"])
     kept = ground.threshold_split(preprocess.statistical_outliers(cells, outliers), height).cache()
-    above = kept.where("not is_ground").select("point_id", "xi", "yi", "zi")
-    banded = cluster.height_layers(above, layers).where("is_clustered").cache()
-    rooted = banded.join(cluster.layer_roots(banded, layers), "point_id", "left").withColumn("root", F.coalesce("root", F.lit(0).cast("long")))
-    named = cluster.layered_clusters(spatial.tiles_with_halo(rooted, tiling.tile, tiling.halo), layers)
+    above = kept.where("not is_ground").withColumns({"tile_x": spatial.cell("xi", tiling.tile), "tile_y": spatial.cell("yi", tiling.tile)})
+    trees = cluster.layered_clusters(above, layers).cache()
+    ids = preprocess.renumber(trees.select("tile_x", "tile_y", F.col("treeID").alias("own")).distinct(), "tile_x", "tile_y", "own")
+    named = trees.withColumnRenamed("treeID", "own").join(ids, ["tile_x", "tile_y", "own"]).select("point_id", "treeID")
     segmented = above.join(named, "point_id").select("xi", "yi", "zi", F.col("treeID").cast("long"))
     return segmented.unionByName(kept.where("is_ground").select("xi", "yi", "zi", F.lit(GROUND_TREE).cast("long").alias("treeID")))
 
