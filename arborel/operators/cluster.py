@@ -7,13 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .graph import smallest_labels
+from .graph import cut_lineage, smallest_labels
 from .preprocess import renumber
 from .spatial import range_join, tiles_with_halo
 
+COORDINATES = ("xi", "yi", "zi")
+#: Centroids of a block, points that a task searches at once, and centroids that the blocks are cut by.
+BLOCK_CENTROIDS, BLOCK_POINTS, CUT_SAMPLE = 8192, 131_072, 65_536
+
 
 @dataclass(frozen=True)
 class Density:
@@ -113,11 +120,150 @@ def _reached(xy: np.ndarray, density: Density) -> tuple[np.ndarray, np.ndarray,
     return at, near, np.bincount(at, minlength=len(xy)) >= density.min_points
 
 
-def assign_centroids(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """points with the nearest of a few centroids (centroid_id, cx, cy, cz, broadcast), ties to the smaller id: one scan, no shuffle of points before the minimum."""
-    all_ = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", "cx", "cy", "cz"))).alias("cs"))
-    scored = F.transform("cs", lambda c: F.struct(sum(((F.col(f"{a}i") - c[f"c{a}"]) * (F.col(f"{a}i") - c[f"c{a}"]) for a in "yz"), (F.col("xi") - c["cx"]) * (F.col("xi") - c["cx"])).alias("d2"), c["centroid_id"].alias("centroid_id")))
-    return points.crossJoin(F.broadcast(all_)).withColumn("best", F.array_min(scored)).select(*points.columns, F.col("best.centroid_id").alias("centroid_id"), F.col("best.d2").alias("d2"))
+def assign_centroids(points: DataFrame, centroids: DataFrame, block: int = BLOCK_CENTROIDS, chunk: int = BLOCK_POINTS) -> DataFrame:
+    """points with the nearest centroid's centroid_id (of centroid_id, cx, cy, cz; ties to the smaller id) and d2. Without a distance, as a coordinate is null, the smallest id of all
+    and a null d2; without centroids no rows.
+
+    Centroids are cut by a k-d tree over a bounded sample into blocks of some `block`, and points go to their block in chunks that numpy searches box by box. Where another block's
+    box is as near as the centroid found, the point searches that block too, so the result is exact whatever the sample.
+    """
+    places = ("cx", "cy", "cz")
+    own = centroids.select("centroid_id", *places)
+    whole = own.dropna(subset=places).groupBy(*places).agg(F.min("centroid_id").alias("centroid_id"))
+    ids = dict(own.schema.fields[0].jsonValue())["type"]
+    exact = all(f.dataType.typeName() in ("byte", "short", "integer", "long") for f in (*own.schema.fields[1:], *points.select(*COORDINATES).schema.fields))
+    kinds = f"centroid_id {ids}, d2 {'long' if exact else 'double'}"
+    found = own.agg(F.count("*").alias("all"), F.min("centroid_id").alias("first")).first()
+    many = whole.count()
+    nowhere = points if not many else points.where(" or ".join(f"{c} is null" for c in COORDINATES))
+    nowhere = nowhere.select("*", F.lit(found["first"]).cast(ids).alias("centroid_id"), F.lit(None).cast(kinds.split()[-1]).alias("d2"))
+    if not many:
+        return nowhere if found["all"] else nowhere.where(F.lit(False))
+    depth = max(0, min(math.ceil(math.log2(many / block)), int(math.log2(CUT_SAMPLE / 16))))
+    sample = whole.orderBy(F.xxhash64(*places), *places).limit(CUT_SAMPLE).select(*places).toPandas().to_numpy() if depth else None
+    leaf = _leaf(_cuts(sample, depth) if depth else [])
+    cut = whole.select("*", leaf(*places).alias("_leaf"))
+    boxes = {}
+    if depth:
+        cut = cut_lineage(cut)
+        ends = [f(c).alias(f"{n}{c}") for n, f in (("low_", F.min), ("high_", F.max)) for c in places]
+        boxes = {r["_leaf"]: (r[1:4], r[4:7]) for r in cut.groupBy("_leaf").agg(*ends).collect()}
+
+    def search(asked: DataFrame, columns: list[str], others: dict) -> DataFrame:
+        """asked (_leaf, columns) with centroid_id, d2 and _more, the other blocks to search."""
+        chunks = asked.groupBy("_leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks"))
+        dealt = asked.join(F.broadcast(chunks), "_leaf").withColumn("_chunk", F.pmod(F.xxhash64(columns[0], *COORDINATES), "_chunks").cast("int"))
+        copies = cut.join(F.broadcast(chunks), "_leaf").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        schema = asked.select(*columns).schema
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            right = right.sort_by("centroid_id")
+            xyz = lambda t, names: np.stack([t[c].to_numpy() for c in names], axis=1)
+            near = {k: box for k, box in others.items() if left.num_rows and k != left["_leaf"][0].as_py()}
+            best, d2, at, more = nearest_places(xyz(left, COORDINATES), xyz(right, places), near)
+            ends = np.searchsorted(at, np.arange(len(best) + 1))
+            none = pa.array(best < 0)
+            column = right["centroid_id"].combine_chunks() if right.num_rows else pa.nulls(1, right.schema.field("centroid_id").type)
+            out = left.select(columns)
+            out = out.append_column("centroid_id", pc.if_else(none, None, column.take(pa.array(np.maximum(best, 0)))))
+            out = out.append_column("d2", pc.if_else(none, None, pa.array(d2, pa.int64() if exact else pa.float64())))
+            return out.append_column("_more", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(more, pa.int32())))
+
+        sides = dealt.select("_leaf", "_chunk", *columns).groupBy("_leaf", "_chunk").cogroup(copies.select("_leaf", "_chunk", "centroid_id", *places).groupBy("_leaf", "_chunk"))
+        full = StructType([*schema.fields, *StructType.fromDDL(f"{kinds}, _more array<int>").fields])
+        return sides.applyInArrow(run, full)
+
+    placed = points.dropna(subset=COORDINATES).withColumn("_leaf", leaf(*COORDINATES))
+    out = search(placed, points.columns, boxes)
+    if depth:
+        out = cut_lineage(out.withColumn("_row", F.monotonically_increasing_id()))
+        again = search(out.where("size(_more) > 0").select("_row", *COORDINATES, F.explode("_more").alias("_leaf")), ["_row", *COORDINATES], {})
+        again = again.groupBy("_row").agg(F.min(F.struct("d2", "centroid_id")).alias("_again"))
+        best = F.least(F.when(F.col("d2").isNotNull(), F.struct("d2", "centroid_id")), "_again")
+        out = out.join(again, "_row", "left").withColumn("_best", best).select(*points.columns, "_best.centroid_id", "_best.d2")
+    return out.select(*points.columns, "centroid_id", "d2").unionByName(nowhere)
+
+
+def _cuts(sample: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """The k-d tree's (axis, place) by node, the root 1 at place 0; a node's two are 2 n and 2 n + 1. Each cut is a median on the widest axis."""
+    cuts, parts = [], [sample]
+    for _ in range(depth):
+        halves = []
+        for part in parts:
+            axis = int(np.ptp(part, axis=0).argmax()) if len(part) else 0
+            at = np.sort(part[:, axis])[(len(part) - 1) // 2].item() if len(part) else 0
+            cuts.append((axis, at))
+            halves += [part[part[:, axis] <= at], part[part[:, axis] > at]]
+        parts = halves
+    return cuts
+
+
+def _leaf(cuts: list[tuple[int, float]]):
+    """A function of three columns that gives the leaf's number in the k-d tree."""
+    if not cuts:
+        return lambda *_: F.lit(0)
+    axes, ats = np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])
+
+    @F.pandas_udf("int")
+    def leaf(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        xyz, node = np.stack([x, y, z]), np.ones(len(x), int)
+        for _ in range(len(ats).bit_length()):
+            node = 2 * node + (xyz[axes[node - 1], np.arange(len(x))] > ats[node - 1])
+        return pd.Series(node - len(ats) - 1, dtype="int32")
+
+    return leaf
+
+
+def nearest_places(points: np.ndarray, centroids: np.ndarray, boxes: dict, least: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each point's nearest centroid (its place, of equally near ones the first; -1: there is none) and squared distance; and pairs (place of a point, in ascending order;
+    name of a box) where a box (low, high corner, all filled to the edge) may hold one as near.
+
+    Points are halved on their widest axis; each part keeps the centroids and boxes that may be nearest to some place in it. Distances of whole numbers are exact.
+    """
+    kind = np.result_type(points, centroids)
+    ends = np.concatenate([points, centroids]).astype(float)
+    if kind.kind == "i" and len(ends) and (np.ptp(ends, axis=0) ** 2).sum() >= 2.0**63:
+        raise OverflowError("squared distances exceed 64 bits")
+    best, d2 = np.full(len(points), -1), np.zeros(len(points), kind)
+    names = np.array(list(boxes), int)
+    lows, highs = (np.array([b[i] for b in boxes.values()], float).reshape(-1, 3) for i in (0, 1))
+    square = lambda *gaps: sum(g * g for g in gaps)
+    slack = 1 + 1e-9  # bounds are rounded
+    todo, at, more = [(np.arange(len(points)), np.arange(len(centroids)), np.arange(len(names)))] if len(points) else [], [], []
+    while todo:
+        own, near, far = todo.pop()
+        p = points[own]
+        low, high = p.min(axis=0).astype(float), p.max(axis=0).astype(float)
+        c = centroids[near].astype(float)
+        inner = square(*np.maximum(np.maximum(low - c, c - high), 0).T)
+        outer = square(*np.maximum(c - low, high - c).T)
+        most = outer.min() if len(near) else np.inf
+        if len(far):
+            most = min(most, square(*np.maximum(highs[far] - low, high - lows[far]).T).min())
+            far = far[square(*np.maximum(np.maximum(low - highs[far], lows[far] - high), 0).T) <= most * slack]
+        near = near[inner <= most * slack]
+        if len(own) > least and len(near) + len(far) > 1 and (low < high).any():
+            order, half = np.argpartition(p[:, (high - low).argmax()], len(own) // 2), len(own) // 2
+            todo += [(own[order[:half]], near, far), (own[order[half:]], near, far)]
+            continue
+        if (low == high).all():
+            p = p[:1]
+        reach = np.full(len(p), np.inf)
+        if len(near):
+            d = square(*(p[:, None, i] - centroids[None, near, i] for i in range(3)))
+            k = d.argmin(axis=1)
+            reach = d[np.arange(len(p)), k]
+            best[own], d2[own] = near[k], reach
+        if len(far):
+            q = p[:, None, :].astype(float)
+            reach = np.minimum(reach, square(*np.moveaxis(np.maximum(highs[far] - q, q - lows[far]), 2, 0)).min(axis=1))
+            hit = square(*np.moveaxis(np.maximum(np.maximum(lows[far] - q, q - highs[far]), 0), 2, 0)) <= reach[:, None] * slack
+            i, k = np.nonzero(np.broadcast_to(hit, (len(own), len(far))))
+            at.append(own[i])
+            more.append(names[far[k]])
+    at, more = (np.concatenate(x) if x else np.zeros(0, int) for x in (at, more))
+    order = np.argsort(at, kind="stable")
+    return best, d2, at[order], more[order]
 
 
 def update_centroids(assigned: DataFrame) -> DataFrame:

@@ -264,3 +264,39 @@ def test_run_log_is_appended(spark, tmp_path):
         features.append_log(row, str(tmp_path / "log"))
     log = spark.read.option("header", True).csv(str(tmp_path / "log"))
     assert log.columns == ["file", "time_seconds", "tree_count"] and values(log, "file", "tree_count") == [("a.las", "2")] * 2
+
+
+def _nearest_by_hand(points, centroids):
+    d2 = lambda p, c: None if None in p[1:] + c[1:] else sum((x - y) ** 2 for x, y in zip(p[1:], c[1:], strict=True))
+    best = lambda p: min(((d2(p, c), c[0]) for c in centroids), key=lambda b: (b[0] is None, b[0] or 0, b[1]))
+    return sorted((p[0], best(p)[1], best(p)[0]) for p in points)
+
+
+@pytest.mark.parametrize("width", [12, 300, 10**7])
+def test_nearest_centroids_across_blocks(spark, width):
+    """Many blocks of few centroids, with ties, equal centroids, crowds, points far from all, and missing coordinates."""
+    random = np.random.default_rng(width)
+    at = lambda n, w: random.integers(0, w, (n, 3)).tolist()
+    centroids = [(int(i), *c) for i, c in zip(random.permutation(160), at(100, width) + at(58, 5) + [[None, 1, 1], [3, 3, None]], strict=True)]
+    points = [(i, *c) for i, c in enumerate(at(300, width) + at(100, 5) + [[9 * width, 0, -width], [-width, 40 * width, 3], [1, None, 2], [None, None, None]])]
+    names = lambda i, x, y, z: f"{i} long, {x} long, {y} long, {z} long"
+    p = spark.createDataFrame(points, names("point_id", "xi", "yi", "zi"))
+    c = spark.createDataFrame(centroids, names("centroid_id", "cx", "cy", "cz"))
+    expected = _nearest_by_hand(points, centroids)
+    for block, chunk in ((7, 64), (1000, 1000)):
+        found = cluster.assign_centroids(p, c, block=block, chunk=chunk)
+        assert found.columns == [*p.columns, "centroid_id", "d2"] and found.schema["d2"].dataType.typeName() == "long"
+        assert sorted(tuple(r) for r in found.select("point_id", "centroid_id", "d2").collect()) == expected
+    assert cluster.assign_centroids(p, c.where("centroid_id < 0")).count() == 0
+    lost = cluster.assign_centroids(p, c.where("cx is null or cz is null")).collect()
+    assert len(lost) == len(points) and {(r.centroid_id, r.d2) for r in lost} == {(min(i for i, *xyz in centroids if None in xyz), None)}
+
+
+def test_nearest_centroids_of_fractions(spark):
+    random = np.random.default_rng(5)
+    points, centroids = random.integers(0, 90, (200, 3)), random.random((40, 3)) * 90
+    p = cloud(spark, points.tolist())
+    c = spark.createDataFrame([(i, *x) for i, x in enumerate(centroids.tolist())], "centroid_id long, cx double, cy double, cz double")
+    expected = ((points[:, None] - centroids[None]) ** 2).sum(axis=2)
+    found = sorted(cluster.assign_centroids(p, c, block=5).collect())
+    assert [r.centroid_id for r in found] == expected.argmin(axis=1).tolist() and np.allclose([r.d2 for r in found], expected.min(axis=1))

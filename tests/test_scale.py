@@ -35,3 +35,8 @@ def test_local_maxima_are_an_anti_join_on_cells(spark, small):
 def test_core_points_join_on_cells(spark, small):
     text = plan(cluster.core_points(points(spark, small), cluster.Density(100, 5)))
     assert "NestedLoop" not in text and "Join" in text
+
+
+def test_centroids_are_searched_in_blocks(spark, small):
+    found = plan(QUERIES["kmeans_assign_step"](spark, small))
+    assert "FlatMapCoGroupsInArrow" in found and "array_min" not in found
