@@ -20,6 +20,12 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
+def _rounded_doubles(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """As SQL rounds doubles: the product with a power of ten goes to the nearest whole number, halves away from zero (F.round() rounds the shortest decimal form instead)."""
+    whole = lambda c: F.floor(F.abs(F.col(c) * 10.0**digits) + 0.5) * F.signum(c)
+    return df.withColumns({c: whole(c) / 10.0**digits for c in columns})
+
+
 def _chm(s, d):
     return raster.canopy_raster(points(s, d), CELL)
 
@@ -182,7 +188,7 @@ def kmeans_assign_step(s, d):
 
 
 def kmeans_update_step(s, d):
-    return _rounded(cluster.update_centroids(cluster.assign_centroids(points(s, d), _centroids(s, d))), 4, "cx", "cy", "cz")
+    return _rounded_doubles(cluster.update_centroids(cluster.assign_centroids(points(s, d), _centroids(s, d))), 4, "cx", "cy", "cz")
 
 
 def label_transfer(s, d):

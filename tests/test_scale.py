@@ -1,6 +1,7 @@
 """Plans as they should be: neighbourhoods are equi-joins, scans read the columns that are used, highest points need no sort."""
 
 from arborel.operators import cluster, treetops
+from arborel.plans import queries
 from arborel.plans.queries import QUERIES
 from arborel.sources.adapter import points
 
@@ -40,3 +41,12 @@ def test_core_points_join_on_cells(spark, small):
 def test_centroids_are_searched_in_blocks(spark, small):
     found = plan(QUERIES["kmeans_assign_step"](spark, small))
     assert "FlatMapCoGroupsInArrow" in found and "array_min" not in found
+
+
+def test_new_centroids_are_rounded_as_sql_rounds(spark):
+    import duckdb
+
+    sums = [(2_629_801, 800), (-2_629_801, 800), (1, 20_000), (3, 160_000), (0, 7), (5, 80_000), (302_868, 800)] + [(20 * k + 1, 800) for k in range(2000)]
+    rows = spark.createDataFrame([(i, s / n) for i, (s, n) in enumerate(sums)], "i long, x double")
+    found = [r.x for r in queries._rounded_doubles(rows, 4, "x").orderBy("i").collect()]
+    assert found == [duckdb.connect().execute(f"select round(cast({s} as hugeint) / {n}, 4)").fetchone()[0] for s, n in sums]
