@@ -7,8 +7,8 @@ edits leave some block alike; in lines with fewer words, whose blocks tell littl
 the keys on which lines are joined, by a hash of the counters behind their bits. In lines of very few words every word is a block of its own: the keys are the
 line without one of its words.
 
-In each bucket of a key the smallest line (the leader) is compared with all others, by length and SimHash distance and then by edit distance; lines that
-are still in different groups after that are compared with each other. So a bucket of very many variants of one line costs work in
+In each bucket of a key the smallest line (the leader) is compared with all others, by length and SimHash distance and then by edit distance; where
+several groups are left, further leaders from outside the largest group follow, and lines that are still in different groups after that are compared with each other. So a bucket of very many variants of one line costs work in
 proportion to its size, and no link between groups is lost. Of each connected group the first occurrence stays.
 """
 
@@ -33,6 +33,10 @@ FEW, ENOUGH = 11, 8
 #: Words that counters of eight bits take; longer lines are counted block by block.
 MOST_PACKED = 127
 BLOCKS, BITS = 8, 16
+#: Shifts beyond the difference in words that texts are put on each other with, and more than any text's length.
+BAND, FAR = 2, 500_000_000
+#: Leaders of a bucket, one after another, before the members that are left meet each other.
+LEADERS = 3
 #: ASCII characters but letters and digits.
 _MARKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
@@ -131,8 +135,9 @@ def few_keys(found: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) of different texts, those that are similar enough.
 
-    Put word on word, the texts' words that differ bound the edit distance from above: if that is enough, nothing more is computed. Of the other pairs, what both
-    texts begin and end with alike doesn't change their distance, which is at most the length of the longer rest: only if that isn't enough, the distance
+    Put word on word, the texts' words that differ bound the edit distance from above: if that is enough, nothing more is computed. If not, the same is tried with the
+    first words put on each other up to some place and the last ones from there, as words left out or added shift what follows; and then with a band of shifts, between
+    which each word chooses (as in an edit distance of words with their lengths as costs). Of the other pairs, what both texts begin and end with alike doesn't change their distance, which is at most the length of the longer rest: only if that isn't enough, the distance
     of the rests is computed. All this is one condition on the joined texts: its steps pass their values on through arrays of one element, as each step of a
     chain of columns would be computed anew wherever a later one names it, and writing the steps down would take the texts' room several times over.
     """
@@ -141,6 +146,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     most = f"cast(floor((1 - {similarity}D) * greatest(length(ta), length(tb)) + 1e-9D) as int)"
     # A word beyond the other text's end goes with the space before it.
     apart = "aggregate(zip_with(split(ta, ' '), split(tb, ' '), (x, y) -> if(x <=> y, 0, greatest(length(x), length(y)) + if(x is null or y is null, 1, 0))), 0, (n, d) -> n + d)"
+    # n words are put on words, k words of the longer text on none; s is the bound so far if all words were put from the start, t if some were put from the end.
+    words = "transform(array(struct(split(ta, ' ') as wa, split(tb, ' ') as wb)), p -> struct(p.wa as wa, p.wb as wb, least(size(p.wa), size(p.wb)) as n, abs(size(p.wa) - size(p.wb)) as k))"
+    cost = lambda start: f"zip_with(slice(p.wa, {start.format('p.wa')}, p.n), slice(p.wb, {start.format('p.wb')}, p.n), (x, y) -> if(x = y, 0, greatest(length(x), length(y))))"
+    steps = f"zip_with({cost('1')}, {cost('size({}) - p.n + 1')}, (l, r) -> struct(l, r))"
+    left = "p.k * (array_max(transform(if(size(p.wa) > size(p.wb), p.wa, p.wb), x -> length(x))) + 1)"
+    put = f"aggregate({steps}, struct(0 as s, 0 as t), (z, x) -> struct(z.s + x.l as s, least(z.s, z.t) + x.r as t), z -> least(z.s, z.t))"
+    shifted = f"exists({words}, p -> {left} <= {most} and {put} + {left} <= {most})"
+    # v holds the bounds by shift, one place for each from -BAND to BAND beyond the k words that wb has more, and a place that nothing reaches at each end; x is the i-th of wa.
+    sides = [f"struct(split({c}, ' ') as wa, split({d}, ' ') as wb)" for c, d in (("ta", "tb"), ("tb", "ta"))]
+    sides = f"transform(array(if(size(split(ta, ' ')) <= size(split(tb, ' ')), {sides[0]}, {sides[1]})), p -> struct(p.wa as wa, p.wb as wb, size(p.wb) - size(p.wa) as k))"
+    other, before = (f"get(p.wb, z.i + j - {BAND + n})" for n in (1, 2))
+    change = f"if(greatest(length(x), length({other})) > 40, greatest(length(x), length({other})), levenshtein(x, {other}))"
+    put_on = f"least(u, z.v[j - 1] + coalesce(length({before}) + 1, {FAR})) + case when {other} is null then {FAR} when {other} = x then 0 else {change} end"
+    bound = f"if(j = 0 or j = p.k + {2 * BAND + 2}, {FAR}, least({FAR}, {put_on}, z.v[j + 1] + length(x) + 1))"
+    step = f"(z, x) -> struct(transform(z.v, (u, j) -> {bound}) as v, z.i + 1 as i)"
+    end = f"z -> array_min(transform(slice(z.v, 2, p.k + {BAND + 1}), (u, j) -> u + (p.k + {BAND} - j) * (array_max(transform(p.wb, x -> length(x))) + 1)))"
+    begin = f"struct(transform(sequence(0, p.k + {2 * BAND + 2}), j -> if(j = {BAND + 1}, 0, {FAR})) as v, 0 as i)"
+    banded = f"exists({sides}, p -> p.k <= 4 + size(p.wa) / 8 and aggregate(p.wa, {begin}, {step}, {end}) <= {most})"
     rests = f"array(struct(ta, tb, {most} as most))"
     for _ in range(2):  # from the start, then from the end
         first = "cast(array_position(zip_with(split(p.ta, ''), split(p.tb, ''), (x, y) -> x <=> y), false) as int)"
@@ -148,16 +171,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         rest = lambda c: f"reverse(if(p.first > 0, substring(p.{c}, p.first, length(p.{c})), '')) as {c}"
         rests = f"transform({rests}, p -> struct({rest('ta')}, {rest('tb')}, p.most as most))"
     near = f"exists({rests}, p -> greatest(length(p.ta), length(p.tb)) <= p.most or levenshtein(p.ta, p.tb, p.most) >= 0)"
-    return both.where(f"abs(length(ta) - length(tb)) <= {most} and ({apart} <= {most} or {near})").select("a", "b")
+    return both.where(f"abs(length(ta) - length(tb)) <= {most} and ({apart} <= {most} or {shifted} or {banded} or {near})").select("a", "b")
 
 
-def _compared(pairs: DataFrame, lines: DataFrame, max_distance: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose lengths and SimHashes (where both have one) allow the wanted similarity."""
-    side = lambda c: lines.select(F.col("name").alias(c), *[F.col(x).alias(x + c) for x in ("size", "even", "odd")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _alike(max_distance: int, similarity: float) -> Column:
+    """Whether the lengths and SimHashes (where both have one) of a pair (sizea, evena, odda, sizeb, evenb, oddb) allow the wanted similarity."""
     fits = F.least("sizea", "sizeb") >= similarity * F.greatest("sizea", "sizeb") - 1e-9
     apart = F.bit_count(F.col("evena").bitwiseXOR(F.col("evenb"))) + F.bit_count(F.col("odda").bitwiseXOR(F.col("oddb")))
-    return both.where(fits & F.coalesce(apart <= max_distance, F.lit(True))).select("a", "b")
+    return fits & F.coalesce(apart <= max_distance, F.lit(True))
+
+
+def _side(lines: DataFrame, c: str) -> DataFrame:
+    return lines.select(F.col("name").alias(c), *[F.col(x).alias(x + c) for x in ("size", "even", "odd")])
+
+
+def _compared(pairs: DataFrame, lines: DataFrame, max_distance: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose lengths and SimHashes allow the wanted similarity."""
+    return pairs.join(_side(lines, "a"), "a").join(_side(lines, "b"), "b").where(_alike(max_distance, similarity)).select("a", "b")
+
+
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (name, root) after links (a, b): groups that they connect become one, and only their roots take part."""
+    root_of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(ends, native=True).toDF("old", "new")
+    merged = roots.join(joined, F.col("root") == F.col("old"), "left").select("name", F.coalesce("new", "root").alias("root"))
+    single = joined.join(roots.select(F.col("root").alias("old")).distinct(), "old", "left_anti").select(F.col("old").alias("name"), F.col("new").alias("root"))
+    return merged.unionByName(single)
+
+
+def _several(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of members (key, name), those in buckets that hold several groups: key, name, root, and main, the bucket's largest group."""
+    placed = members.join(roots, "name", "left").select("key", "name", F.coalesce("root", "name").alias("root"))
+    groups = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups"))
+    return placed.join(groups.where("groups > 1").select("key", F.col("most.root").alias("main")), "key")
 
 
 def line_groups(found: DataFrame, max_distance: int = MAX_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -179,23 +226,27 @@ def line_groups(found: DataFrame, max_distance: int = MAX_DISTANCE, similarity:
     links = saved(_verified(stars, texts, similarity))
     roots = saved(components(links, native=True).withColumnRenamed("node", "name"))
 
-    # Buckets that still hold several groups: their members outside the leader's group meet all the others.
-    placed = many.join(roots, "name", "left").select("key", "name", "leader", F.coalesce("root", "name").alias("root"))
-    lead = roots.select(F.col("name").alias("leader"), F.col("root").alias("lead_root"))
-    placed = placed.join(lead, "leader", "left").withColumn("lead_root", F.coalesce("lead_root", "leader"))
-    sizes = lines.select("name", "size")
-    outside = placed.where("root <> lead_root").join(sizes, "name").select("key", F.col("name").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"))
-    others = placed.where("name <> leader").join(sizes, "name").select("key", F.col("name").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"))
-    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    cross = outside.join(others, "key").where("ra <> rb").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = saved(_verified(saved(_compared(cross, lines, max_distance, similarity)), texts, similarity))
-    # Groups that these links connect become one; only their roots take part.
-    root_of = lambda c: roots.select(F.col("name").alias(c), F.col("root").alias(f"root_{c}"))
-    ends = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(ends, native=True).toDF("old", "new")
-    merged = roots.join(joined, F.col("root") == F.col("old"), "left").select("name", F.coalesce("new", "root").alias("root"))
-    single = joined.join(roots.select(F.col("root").alias("old")).distinct(), "old", "left_anti").select(F.col("old").alias("name"), F.col("new").alias("root"))
-    return merged.unionByName(single)
+    # In buckets that still hold several groups another leader, from outside the largest group, meets all members of other groups, and again; a leader has met all then.
+    members = many.where("name <> leader").select("key", "name")
+    for _ in range(LEADERS - 1):
+        several = saved(_several(members, roots))
+        if several.isEmpty():
+            return roots
+        leaders = several.where("root <> main").groupBy("key").agg(F.min(F.struct("name", "root")).alias("leader"))
+        met = several.join(leaders, "key")
+        pairs = met.where("root <> leader.root").select(F.least("name", "leader.name").alias("a"), F.greatest("name", "leader.name").alias("b")).distinct()
+        links = saved(_verified(saved(_compared(pairs, lines, max_distance, similarity)), texts, similarity))
+        members = met.where("name <> leader.name").select("key", "name")
+        roots = saved(_grown(roots, links)) if not links.isEmpty() else roots
+
+    # What is still outside its bucket's largest group meets all members of other groups; a pair that can't be similar is no row.
+    several = _several(members, roots)
+    side = lambda c: _side(lines, c).join(several.select("key", F.col("name").alias(c), F.col("root").alias(f"r{c}"), "main"), c)
+    outside = side("a").where("ra <> main").drop("main")
+    cross = outside.join(side("b").drop("main"), "key").where("ra <> rb").where(_alike(max_distance, similarity))
+    cross = saved(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = saved(_verified(cross, texts, similarity))
+    return _grown(roots, more)
 
 
 def dedup_lines(docs: DataFrame, max_distance: int = MAX_DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

@@ -485,3 +485,63 @@ def test_viterbi_equals_all_paths():
     score = lambda p: field.start[p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p[:-1], p[1:], strict=True))
     best = max(product(range(len(pii.LABELS)), repeat=3), key=score)
     assert field.viterbi([words, [], ["x"]])[0].tolist() == list(best)
+
+
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_bounds_of_words_accept_no_pair_that_the_edit_distance_refuses(spark):
+    """Words added, left out, replaced and moved, near the wanted similarity on both sides."""
+    random = np.random.default_rng(3)
+    words = ["a", "of", "tree", "stem", "crown", "canopy", "lichen", "understorey", "é", "x" * 45, "y" * 45]
+    rows = []
+    for n in range(400):
+        a = list(random.choice(words, random.integers(1, 40)))
+        b = list(a)
+        for _ in range(random.integers(0, 7)):
+            at, kind = random.integers(0, len(b) + 1), random.integers(0, 4)
+            if kind == 0:
+                b.insert(at, random.choice(words))
+            elif kind == 1 and len(b) > 1:
+                b.pop(at % len(b))
+            elif kind == 2:
+                b[at % len(b)] = random.choice(words)
+            else:
+                b = b[at:] + b[:at]
+        rows.append((2 * n, " ".join(a), 2 * n + 1, " ".join(b)))
+    texts = spark.createDataFrame([r[:2] for r in rows] + [r[2:] for r in rows], "name long, normal string")
+    pairs = spark.createDataFrame([(r[0], r[2]) for r in rows], "a long, b long")
+    found = {r.a for r in lines._verified(pairs, texts, 0.8).collect()}
+    assert found == {a for a, ta, _, tb in rows if _edit_distance(ta, tb) <= int(0.2 * max(len(ta), len(tb)) + 1e-9)}
+    assert 100 < len(found) < 390
+
+
+def test_buckets_of_several_groups_know_their_largest(spark):
+    members = spark.createDataFrame([(1, n) for n in range(10, 16)] + [(2, 20), (2, 21), (3, 30)], "key long, name long")
+    roots = spark.createDataFrame([(10, 10), (11, 12), (12, 12), (13, 12), (20, 20), (21, 20)], "name long, root long")
+    found = sorted(tuple(r) for r in lines._several(members, roots).select("key", "name", "root", "main").collect())
+    assert found == [(1, 10, 10, 12), (1, 11, 12, 12), (1, 12, 12, 12), (1, 13, 12, 12), (1, 14, 14, 12), (1, 15, 15, 12)]
+    grown = lines._grown(roots, spark.createDataFrame([(10, 13), (14, 15), (15, 21)], "a long, b long"))
+    assert sorted(tuple(r) for r in grown.collect()) == [(10, 10), (11, 10), (12, 10), (13, 10), (14, 14), (15, 14), (20, 14), (21, 14)]
+
+
+@pytest.mark.parametrize("leaders", [1, 2])
+def test_groups_do_not_depend_on_the_number_of_leaders(spark, monkeypatch, leaders):
+    random = np.random.default_rng(11)
+    words, texts = [f"word{i:03d}" for i in range(40)], []
+    for n in range(120):
+        own = list(words)
+        for at in random.choice(40, 1 + n % 12, replace=False):
+            own[at] = f"edit{random.integers(1000)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lambda: sorted(tuple(r) for r in lines.dedup_lines(docs).selectExpr("id", "n_lines", "array_join(removed, ',')").collect())
+    found = groups()
+    monkeypatch.setattr(lines, "LEADERS", leaders)
+    assert groups() == found and sum(bool(r[2]) for r in found) > 60
