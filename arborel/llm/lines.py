@@ -37,13 +37,13 @@ BLOCKS, BITS = 8, 16
 BAND, FAR = 2, 500_000_000
 #: Leaders of a bucket, one after another, before the members that are left meet each other.
 LEADERS = 3
-#: ASCII characters but letters and digits.
-_MARKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: ASCII characters but letters, digits and the end of a line, one by one: Java looks these up in a table, but compares a character with each range.
+_MARKS = "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum() and chr(i) != "\n")
 
 
-def normal(line: Column) -> Column:
-    """Lower case; runs of ASCII characters other than letters and digits are one space."""
-    return F.trim(F.regexp_replace(F.lower(line), f"[{_MARKS}]+", " "))
+def normal(text: Column) -> Column:
+    """Lower case; runs of ASCII characters other than letters, digits and ends of lines are one space."""
+    return F.regexp_replace(F.lower(text), f"[{_MARKS}]++", " ")
 
 
 def _words(lines: DataFrame) -> DataFrame:
@@ -56,6 +56,11 @@ def _bit(k: int) -> str:
     return f"shiftright(shiftleft(h, {63 - 8 - k}), 63)"  # all ones or all zeros
 
 
+def _in_parts(c: str) -> Column:
+    """Column c. Its lambda keeps a projection out of whole-stage code, whose one method would have more than the 8,000 bytes that the JVM compiles; it's made in small methods then."""
+    return F.element_at(F.transform(F.array(c), lambda x: x), 1).alias(c)
+
+
 def packed_simhashes(lines: DataFrame) -> DataFrame:
     """Of rows (seq, name, size, few, words), seq being a row's own number and no row having more than MOST_PACKED words: name, size, even and odd (the
     SimHash's blocks 0, 2, 4, 6 and 1, 3, 5, 7, 16 bits each), n (words of each block, 8 bits each), and k0 to k7, a hash of each block's counters.
@@ -73,7 +78,7 @@ def packed_simhashes(lines: DataFrame) -> DataFrame:
     half = lambda odd: F.expr(" | ".join(f"{'shiftrightunsigned' if k < 8 else 'shiftleft'}({more(k, odd)}, {abs(k - 8)})" for k in range(BITS)))
     count = lambda of, c: f"shiftrightunsigned({of}, {8 * c}) & 255L"
     keys = [F.expr(f"xxhash64({c}, {', '.join(count(x, c) for x in ['n', *(f's{k}' for k in range(BITS))])})").alias(f"k{c}") for c in range(BLOCKS)]
-    return found.select("name", "size", half(0).alias("even"), half(1).alias("odd"), "n", *keys)
+    return found.select("name", "size", half(0).alias("even"), half(1).alias("odd"), _in_parts("n"), *keys)
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
@@ -93,9 +98,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """The lines of docs (doc_id, text) with letters or digits: row (a number for each row of docs), id, th, place, normal, its words' number, and name, a hash of normal."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), F.col("text"))
     rows = rows.where("text is not null").withColumn("th", F.xxhash64("text"))
-    lines = rows.select("row", "id", "th", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).where(F.col("line").rlike(f"[^{_MARKS}]"))
-    lines = lines.select("row", "id", "th", "place", normal(F.col("line")).alias("normal"))
-    spaces = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit("")))
+    # All lines of a text are made normal at once; one without letters and digits is empty after trim().
+    lines = rows.select("row", "id", "th", F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("place", "line"))
+    lines = lines.select("row", "id", "th", "place", F.trim("line").alias("normal")).where("normal <> ''")
+    spaces = F.octet_length("normal") - F.octet_length(F.replace("normal", F.lit(" "), F.lit("")))
     return lines.withColumns({"name": F.xxhash64("normal"), "words": (spaces + 1).cast("int")})
 
 
