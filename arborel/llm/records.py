@@ -14,6 +14,7 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ KNOWN_BYTES = 128 << 20
 SHARD_BYTES = 512 << 20
 #: Bytes of text that are encoded and framed at once.
 CHUNK = 4 << 20
+#: ASCII marks, which after a letter or digit a-z, 0-9 are tokens by themselves. (An apostrophe may begin an ending; special tokens begin with "<|".)
+_MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 
 
@@ -45,14 +48,41 @@ class Encoder:
         self.kind = f"<u{array(self.code).itemsize}"
         self.known: dict[bytes, bytes] = {}
         self.bytes = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self._remember(word, array(self.code, e.ids).tobytes())
-
-    def _remember(self, word: bytes, ids: bytes) -> None:
-        self.known[word] = ids
-        self.bytes += len(word) + len(ids) + 150  # with what the objects and the entry take
+        self.bare = self._bare()
+
+    def _bare(self):
+        """The model alone, which gives words of letters a-z the same ids without the steps before it; None where a vocabulary has other ids for them."""
+        bare = type(self.tokenizer).from_str(self.tokenizer.to_str())
+        bare.normalizer = bare.pre_tokenizer = None
+        tried = ["a", "the", "don", "straightforwardness", "qzxjkvw"]
+        same = lambda w: bare.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids
+        return bare if all(map(same, tried)) else None
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Remembers the ids of words that aren't known."""
+        plain, other, cut = [], [], []
+        for word in new:
+            if self.bare and word.isalpha() and word.islower():
+                plain.append(word)
+            elif (stem := word.rstrip(_MARKS)) != word and stem[-1:].isalnum() and b"<|" not in word:
+                cut.append((word, stem, word[len(stem) :]))
+            else:
+                other.append(word)
+        if cut:
+            self._learn({p for _, *parts in cut for p in parts if p not in self.known and p not in new})
+        if plain:  # as the words of one sequence, with one row of ids
+            e = self.bare.encode([w.decode() for w in plain], is_pretokenized=True, add_special_tokens=False)
+            ids, size = np.array(e.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+            at = (np.searchsorted(np.array(e.word_ids), np.arange(len(plain) + 1)) * size).tolist()
+            self._remember(plain, [ids[a:b] for a, b in pairwise(at)])
+        if other:
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+            self._remember(other, [array(self.code, e.ids).tobytes() for e in found])
+        self._remember([word for word, _, _ in cut], [self.known[stem] + self.known[marks] for _, stem, marks in cut])
+
+    def _remember(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.bytes += sum(map(len, words)) + sum(map(len, ids)) + 150 * len(words)  # with what the objects and the entries take
 
     def texts(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text, and end, as bytes of kind."""
@@ -61,15 +91,14 @@ class Encoder:
         if self.bytes > KNOWN_BYTES:
             self.known.clear()
             self.bytes = 0
-        known = self.known
-        new = set().union(*words) - known.keys()
-        # A full stop or comma after a letter a-z is a token by itself.
-        marked = [w for w in new if w[-1:] in (b".", b",") and 97 <= (w[-2:-1] or b" ")[0] <= 122 and b"<|" not in w]
-        self._learn([*(({w[:-1] for w in marked} | {b".", b","}) - known.keys() - new), *new.difference(marked)])
-        for w in marked:
-            self._remember(w, known[w[:-1]] + known[w[-1:]])
-        get = known.__getitem__
-        return [b"".join([*map(get, own), end]) for own in words]
+        every = [*chain.from_iterable(words)]
+        ids = [*map(self.known.get, every)]
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        self._learn({every[i] for i in gaps})
+        for i in gaps:
+            ids[i] = self.known[every[i]]
+        bound = [0, *accumulate(map(len, words))]
+        return [b"".join([*ids[a:b], end]) for a, b in pairwise(bound)]
 
 
 @lru_cache(1)
